@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CRITICAL_P99, CRITICAL_ERROR_RATE = 1000, 10
 WARNING_P99, WARNING_ERROR_RATE = 500, 5
 MIN_REQUESTS = 30
+OUTLIER_FACTOR = 3.0
+ONSET_REQUESTS = 10
 SLO_MS = 200
 
 
@@ -46,6 +48,10 @@ def severity(p99: Column, rate: Column, requests: Column) -> Column:
             .otherwise("info"))
 
 
+def is_degraded(p99: Column, rate: Column) -> Column:
+    return (rate > WARNING_ERROR_RATE) | (p99 > WARNING_P99)
+
+
 def latency_class(p99: Column) -> Column:
     return (F.when(p99 > CRITICAL_P99, "critical")
             .when(p99 > WARNING_P99, "warning")

@@ -81,6 +81,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     return found.select(*keys, *[interpolate(q).alias(name) for name, q in quantiles.items()])
 
 
+def quantiles_by(df: DataFrame, keys: list[str], value: str,
+                 quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group: built-in on a small input, else ``exact_quantiles``."""
+    if not is_small(df):
+        return exact_quantiles(df, keys, value, quantiles)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        *[F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()])
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether the planner's size estimate, taken from the scanned files, is small."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -1,0 +1,56 @@
+"""How a customer's use of a degraded path relates to its errors and latency."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.metrics import error_count, round_half_up
+from ..session import BROADCAST_ROWS, materialize
+
+# The failure model of the degraded path.
+DEGRADED_ENDPOINT, DEGRADED_DEPLOY = "/api/v1/orders", "v1.2.4"
+FULL_PRESSURE_HITS = 150
+BASE_ERROR, PRESSURE_ERROR, PRESSURE_LATENCY = 0.02, 0.55, 50
+
+
+def exposure_curve(df: DataFrame, endpoint: str = DEGRADED_ENDPOINT,
+                   deploy: str = DEGRADED_DEPLOY) -> DataFrame:
+    """Observed against expected failures per customer and tenth of pressure, where
+    ``pressure = min(1, hits / 150)²`` and ``hits`` counts the customer's calls so far.
+
+    Ranking all calls of a customer would put the largest customer on one task. Calls
+    are counted per minute instead, and only those minutes that begin below 150 hits,
+    at most 150 per customer, are ranked row by row; later calls are all at pressure 1.
+    """
+    calls = (df.where((F.col("endpoint") == endpoint) & (F.col("deploy_version") == deploy))
+             .select("customer_id", "timestamp", "trace_id", "status_code", "latency_ms",
+                     F.window("timestamp", "1 minute")["start"].alias("minute")))
+    earlier = (Window.partitionBy("customer_id").orderBy("minute")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    rising = materialize(
+        calls.groupBy("customer_id", "minute").agg(F.count(F.lit(1)).alias("n"))
+        .select("customer_id", "minute",
+                F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("hits_before"))
+        .where(F.col("hits_before") < FULL_PRESSURE_HITS))
+    if rising.count() <= BROADCAST_ROWS:
+        rising = F.broadcast(rising)
+
+    order = Window.partitionBy("customer_id", "minute").orderBy("timestamp", "trace_id")
+    ranked = (calls.join(rising, ["customer_id", "minute"])
+              .withColumn("hits", F.col("hits_before") + F.row_number().over(order))
+              .withColumn("pressure", F.pow(F.least(
+                  F.lit(1.0), F.col("hits") / FULL_PRESSURE_HITS), F.lit(2.0))))
+    full = (calls.join(rising, ["customer_id", "minute"], "left_anti")
+            .withColumn("pressure", F.lit(1.0)))
+    columns = ["customer_id", "status_code", "latency_ms", "pressure"]
+    return (ranked.select(*columns).unionByName(full.select(*columns))
+            .groupBy("customer_id",
+                     F.floor(F.round(F.col("pressure") * 10, 9)).alias("pressure_decile"))
+            .agg(F.count(F.lit(1)).alias("calls"),
+                 round_half_up(error_count() / F.count(F.lit(1)), 4).alias("observed_error_rate"),
+                 round_half_up(F.avg(BASE_ERROR + PRESSURE_ERROR * F.col("pressure")), 4)
+                 .alias("expected_error_rate"),
+                 round_half_up(F.avg("latency_ms"), 1).alias("avg_latency"),
+                 round_half_up(F.avg(1 + PRESSURE_LATENCY * F.col("pressure")), 4)
+                 .alias("expected_latency_factor")))

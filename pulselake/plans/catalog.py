@@ -5,20 +5,233 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import health
+from ..functions.metrics import round_half_up
+from ..operators import (
+    adhoc, detector, drilldown, exposure, findings, health, history, views,
+)
+from ..session import materialize, scratch_path
+from ..sources import derived, ingest, store
 from ..sources.derived import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Ad-hoc statements that are run as they stand, here and in the oracle's SQL.
+SQL_SELECT = """select endpoint, count(*) as requests,
+  sum(case when status_code >= 500 then 1 else 0 end) as errors
+from events group by 1 order by 2 desc;"""
+SQL_WITH = """WITH per_customer AS (
+  SELECT customer_id, COUNT(*) AS requests, MAX(latency_ms) AS worst
+  FROM events GROUP BY customer_id)
+SELECT customer_id, requests, worst FROM per_customer WHERE requests > 50"""
+SQL_SELF_JOIN = """SELECT a.customer_id, COUNT(*) AS repeats
+FROM events a JOIN events b ON a.trace_id = b.trace_id AND a.customer_id = b.customer_id
+WHERE a.status_code >= 500 GROUP BY a.customer_id"""
+SQL_BUCKETS = """SELECT time_bucket(INTERVAL '1 minute', timestamp) AS minute,
+  COUNT(*) AS requests, COUNT(DISTINCT customer_id) AS customers
+FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 20"""
+SQL_JSON = """SELECT customer_id, MAX(timestamp) AS last_seen, COUNT(*) AS requests,
+  MAX(error_message) AS error_message FROM events GROUP BY customer_id"""
 
-def queries() -> dict[str, Query]:
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.customer_health(telemetry(spark, sf_dir))
+
+
+def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drilldown.baseline_outliers(materialize(_health(spark, sf_dir)))
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.validate(ingest.decode(derived.wire_lines(spark, sf_dir)))
+
+
+def _ingest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.decode(derived.wire_lines(spark, sf_dir)).drop("line")
+
+
+def _ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select(
+        "trace_id", F.array_join("missing", ", ").alias("missing"),
+        F.array_join("invalid", ", ").alias("invalid"), "reason")
+
+
+def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (ingest.rejected(_validated(spark, sf_dir)).groupBy("reason")
+            .agg(F.count(F.lit(1)).alias("lines")))
+
+
+def _plain_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def _ingest_normalize_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_time(ingest.accepted(_validated(spark, sf_dir))).select("trace_id", "timestamp")
+
+
+def _sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "events")
+    store.append_events(telemetry(spark, sf_dir), path)
+    return _plain_time(store.read_events(spark, path))
+
+
+def _adhoc(sql: str, max_rows: int | None = adhoc.MAX_ROWS) -> Query:
+    return lambda s, d: adhoc.ad_hoc_sql(s, sql, telemetry(s, d), max_rows)
+
+
+def _joined_evidence(df: DataFrame) -> DataFrame:
+    return df.withColumn("evidence_queries", F.array_join("evidence_queries", " | "))
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.investigate(telemetry(spark, sf_dir), "sweep-1")
+
+
+def _stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(_findings(spark, sf_dir))
+
+
+def _rounded_rates(df: DataFrame) -> DataFrame:
+    return (df.withColumn("error_rate", round_half_up(F.col("error_rate"), 4))
+            .withColumn("avg_latency", round_half_up(F.col("avg_latency"), 4)))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detector.alerts(telemetry(spark, sf_dir))
+
+
+def _alert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings.alert_evidence(_alerts(spark, sf_dir), telemetry(spark, sf_dir))
+    return findings.findings_from(found, F.col("session_id")).drop("evidence_queries")
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.content_hash(derived.investigation_steps(spark, sf_dir))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.put_objects(_steps(spark, sf_dir))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.save_snapshots(_steps(spark, sf_dir))
+
+
+def _flat_snapshot(df: DataFrame) -> DataFrame:
+    return df.select("session_id", "version", "parent_version", "status",
+                     F.array_join("descriptors", ",").alias("descriptors"),
+                     F.col("metadata.timestamp").alias("at_time"),
+                     F.col("metadata.trigger").alias("trigger"),
+                     F.col("metadata.findings_count").alias("findings_count"))
+
+
+def _object_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _steps(spark, sf_dir)
+    opening = history.put_objects(steps.where(F.col("version") == 1))
+    return history.put_objects(steps, opening)
+
+
+def _snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = derived.snapshot_documents(_snapshots(spark, sf_dir))
+    return _flat_snapshot(history.versions(history.decode_snapshots(documents)))
+
+
+def _message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.flatten_messages(history.content_hash(derived.tool_messages(spark, sf_dir)))
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = telemetry(spark, sf_dir)
+    return views.feed(events, _alerts(spark, sf_dir), _stored_findings(spark, sf_dir),
+                      health.deploy_history(events))
+
+
+def _investigation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(findings.evidence(telemetry(spark, sf_dir)))
+    return _flat_snapshot(history.save_snapshots(
+        findings.investigation_history(found, "sweep-1")))
+
+
+def _catalog() -> dict[str, Query]:
     return {
-        "customer_health": lambda s, d: health.customer_health(telemetry(s, d)),
+        # ingestion
+        "ingest_parse": _ingest_parse,
+        "ingest_validate": _ingest_validate,
+        "ingest_rejects": _ingest_rejects,
+        "ingest_normalize_ts": _ingest_normalize_ts,
+        "ingest_counters": lambda s, d: ingest.ingest_counters(_validated(s, d)),
+        "sink_roundtrip": _sink_roundtrip,
+        # pre-built and ad-hoc queries
+        "customer_health": _health,
         "customer_health_15m": lambda s, d: health.customer_health(telemetry(s, d), minutes=15),
         "customer_health_all": lambda s, d: health.customer_health(telemetry(s, d), minutes=None),
         "customer_health_spread": lambda s, d: health.customer_health(
             telemetry(s, d), minutes=None, spread=True),
         "recent_events": lambda s, d: health.recent_events(telemetry(s, d)),
         "deploy_history": lambda s, d: health.deploy_history(telemetry(s, d)),
+        "sql_guarded_select": _adhoc(SQL_SELECT),
+        "sql_guarded_with": _adhoc(SQL_WITH),
+        "sql_self_join": _adhoc(SQL_SELF_JOIN),
+        "sql_time_bucket": _adhoc(SQL_BUCKETS),
+        "sql_json_rows": lambda s, d: adhoc.to_json_rows(_adhoc(SQL_JSON, None)(s, d)),
+        # investigation
+        "survey_candidates": lambda s, d: drilldown.survey(_health(s, d)),
+        "min_sample_gate": lambda s, d: drilldown.min_sample_gate(_health(s, d)),
+        "baseline_outliers": _baseline,
+        "drill_endpoint": lambda s, d: drilldown.by_endpoint(telemetry(s, d)),
+        "drill_deploy": lambda s, d: drilldown.by_deploy(telemetry(s, d)),
+        "drill_timeline": lambda s, d: drilldown.timeline(telemetry(s, d)),
+        "drill_timeline_spread": lambda s, d: drilldown.timeline(telemetry(s, d), spread=True),
+        "degradation_onset": lambda s, d: drilldown.onset(drilldown.timeline(telemetry(s, d))),
+        "drill_errors": lambda s, d: drilldown.error_messages(telemetry(s, d)),
+        "severity_classify": lambda s, d: drilldown.with_severity(_health(s, d)),
+        "findings": lambda s, d: _joined_evidence(_findings(s, d)),
+        "findings_targeted": lambda s, d: _joined_evidence(findings.investigate(
+            telemetry(s, d), "alert-1", customer="cust_007")),
+        "findings_by_customer": lambda s, d: findings.findings_by_customer(
+            _health(s, d), _stored_findings(s, d)),
+        "investigation_history": _investigation_history,
+        # detector
+        "detector_windows": lambda s, d: _rounded_rates(detector.window_stats(telemetry(s, d))),
+        "detector_anomalies": lambda s, d: _rounded_rates(
+            detector.anomalies(detector.window_stats(telemetry(s, d)))),
+        "detector_alerts": lambda s, d: _rounded_rates(_alerts(s, d)),
+        "alert_messages": lambda s, d: detector.alert_message(_alerts(s, d)).select(
+            "tick", "customer_id", "message"),
+        "alert_findings": _alert_findings,
+        # history
+        "content_hash": lambda s, d: _steps(s, d).select("session_id", "version", "pos", "sha"),
+        "object_dedup": _object_dedup,
+        "snapshot_build": lambda s, d: _flat_snapshot(_snapshots(s, d)),
+        "snapshot_load": lambda s, d: _flat_snapshot(history.load_snapshot(_snapshots(s, d), 2)),
+        "snapshot_latest": lambda s, d: history.latest_versions(_snapshots(s, d)),
+        "session_list": lambda s, d: history.sessions(_snapshots(s, d)),
+        "snapshot_versions": _snapshot_versions,
+        "snapshot_replay": lambda s, d: history.replay(_snapshots(s, d), _objects(s, d)),
+        "snapshot_objects": lambda s, d: history.snapshot_objects(
+            _snapshots(s, d), _objects(s, d)),
+        "snapshot_timeline": lambda s, d: history.snapshot_timeline(_snapshots(s, d)),
+        "message_flatten": _message_flatten,
+        # screens
+        "health_status": lambda s, d: views.with_status(_health(s, d)),
+        "latency_chart": lambda s, d: views.latency_chart(_health(s, d)),
+        "health_sorted": lambda s, d: views.sort_health(_health(s, d), "customer", True),
+        "feed_union": lambda s, d: _feed(s, d),
+        "feed_summary": lambda s, d: views.feed_summary(_feed(s, d)),
+        "feed_tail": lambda s, d: views.feed_tail(_feed(s, d)),
+        "status_summary": lambda s, d: views.status_summary(
+            telemetry(s, d), _stored_findings(s, d)),
+        "exposure_curve": lambda s, d: exposure.exposure_curve(telemetry(s, d)),
     }
+
+
+def _in_utc(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _in_utc(query) for name, query in _catalog().items()}

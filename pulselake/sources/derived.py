@@ -7,6 +7,7 @@ every derived table grows with the table it is read from.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # Columns of the given tables that are read here; stating them saves a footer scan.
@@ -59,3 +60,73 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN NOT failed THEN NULL WHEN event_id % 2 = 0"
         " THEN 'Database connection pool exhausted' ELSE 'Circuit breaker open' END"
         " AS error_message")
+
+
+TURNS_PER_CYCLE = 4
+
+
+def investigation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``conversations`` table as stored steps: two objects per turn, the message and
+    a record of its role, the second of which repeats across sessions."""
+    rows = table(spark, sf_dir, "conversations").selectExpr(
+        "concat('sess-', lpad(conv_id, 6, '0')) AS session_id",
+        f"turn DIV {TURNS_PER_CYCLE} AS cycle",
+        "turn + 1 AS version",
+        "date_format(timestampadd(SECOND, conv_id * 60 + turn,"
+        " TIMESTAMP_NTZ '2024-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss\") AS timestamp",
+        "CAST(NULL AS STRING) AS customer_id", "'manual' AS trigger",
+        "CAST(0 AS BIGINT) AS findings_count",
+        "array(to_json(named_struct('message', named_struct('role', role, 'text', text),"
+        " 'type', 'message')),"
+        " to_json(named_struct('role', role, 'type', 'role'))) AS contents")
+    return rows.selectExpr("* EXCEPT (contents)", "posexplode(contents) AS (pos, content)")
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``conversations`` table as messages with tool calls and tool responses."""
+    return table(spark, sf_dir, "conversations").selectExpr("""
+      CASE role
+      WHEN 'assistant' THEN to_json(named_struct('message', named_struct(
+        'function_calls', array(
+          named_struct('args', map('sql', text), 'name', 'run_sql'),
+          named_struct('args', map('session', string(conv_id)), 'name', 'customer_list')),
+        'role', 'model', 'text', text), 'type', 'message'))
+      WHEN 'user' THEN to_json(named_struct('message', named_struct(
+        'responses', array(
+          named_struct('name', 'run_sql', 'response', named_struct('result', text)),
+          named_struct('name', 'customer_list', 'response',
+                       named_struct('result', string(turn)))),
+        'role', 'function_response'), 'type', 'message'))
+      ELSE to_json(named_struct('note', text, 'type', 'note')) END AS content""")
+
+
+def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry as JSON lines, a fixed share of them with a defect, by event number
+    modulo 20: 1 empty trace id, 2 no customer id and empty region, 3 cut JSON, 4 status as
+    text, 5 no customer name, 6 ``Z`` and 7 ``+02:00`` timestamps, 8 unreadable timestamp,
+    9 no endpoint and method."""
+    rows = telemetry(spark, sf_dir).selectExpr(
+        "*", "bigint(substr(trace_id, 7)) % 20 AS defect",
+        "date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS at")
+    return rows.selectExpr("defect", """to_json(named_struct(
+        'timestamp', CASE defect WHEN 6 THEN concat(at, 'Z') WHEN 7 THEN concat(at, '+02:00')
+                                 WHEN 8 THEN 'yesterday' ELSE at END,
+        'trace_id', if(defect = 1, '', trace_id),
+        'customer_id', if(defect = 2, NULL, customer_id),
+        'customer_name', if(defect = 5, NULL, customer_name),
+        'endpoint', if(defect = 9, NULL, endpoint),
+        'method', if(defect = 9, NULL, method),
+        'status_code', if(defect = 4, NULL, status_code),
+        'latency_ms', latency_ms, 'deploy_version', deploy_version,
+        'region', if(defect = 2, '', region), 'error_message', error_message)) AS j""",
+        "string(status_code) AS status").selectExpr("""CASE defect
+        WHEN 3 THEN left(j, length(j) - 1)
+        WHEN 4 THEN concat(left(j, length(j) - 1), ',"status_code":"', status, '"}')
+        ELSE j END AS value""")
+
+
+def snapshot_documents(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as JSON documents; those of a running second version are cut short."""
+    return (snapshots.select("version", "status", F.to_json(F.struct("*")).alias("j"))
+            .selectExpr("if(version = 2 AND status = 'running', left(j, length(j) - 5), j)"
+                        " AS document"))
