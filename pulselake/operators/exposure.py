@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_count, round_half_up
-from ..session import BROADCAST_ROWS, materialize
+from ..session import materialize
 
 # The failure model of the degraded path.
 DEGRADED_ENDPOINT, DEGRADED_DEPLOY = "/api/v1/orders", "v1.2.4"
@@ -33,8 +33,6 @@ def exposure_curve(df: DataFrame, endpoint: str = DEGRADED_ENDPOINT,
         .select("customer_id", "minute",
                 F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("hits_before"))
         .where(F.col("hits_before") < FULL_PRESSURE_HITS))
-    if rising.count() <= BROADCAST_ROWS:
-        rising = F.broadcast(rising)
 
     order = Window.partitionBy("customer_id", "minute").orderBy("timestamp", "trace_id")
     ranked = (calls.join(rising, ["customer_id", "minute"])

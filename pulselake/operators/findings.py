@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import WARNING_P99
-from ..session import BROADCAST_ROWS, keep_keys, materialize
+from ..session import materialize
 from . import drilldown, history
 from .health import customer_health, for_customer, latest_time, request_metrics
 
@@ -47,7 +47,7 @@ def _report(reported: DataFrame, rows: DataFrame, *scope: str) -> DataFrame:
         drilldown.with_severity(reported), keys,
         ["customer_name", "severity", "request_count", "p99_latency", "error_rate"],
         ["p99_latency", "customer_name"]))
-    drill = keep_keys(rows, found, keys)
+    drill = rows.join(found.select(*keys), keys, "left_semi")
     worst_endpoint = _pick(
         drilldown.by_endpoint(drill, None, *scope), keys,
         ["endpoint", F.col("p99_latency").alias("endpoint_p99"),
@@ -100,8 +100,6 @@ def alert_evidence(alerts: DataFrame, df: DataFrame, minutes: int = 5,
                                            F.date_trunc("minute", "tick"),
                                            F.expr("INTERVAL '1' MINUTE"))).alias("minute"))
         .withColumn("minute", F.col("minute").cast(df.schema["timestamp"].dataType)))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     # Written out once: five drill-downs read these rows.
     rows = materialize(
         df.withColumn("minute", minute).join(wanted, ["customer_id", "minute"])

@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest side, in rows, that may be broadcast after it has been counted.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "pulselake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -20,7 +15,6 @@ def build_session(app: str = "pulselake", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
@@ -41,25 +35,25 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the scratch folder of this application."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/pulselake-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once, as a table in the shared scratch folder.
 
+    This cuts the lineage, survives the loss of executors, and gives the planner the true
+    size: joins with the result are broadcast only when the written files are below
+    ``spark.sql.autoBroadcastJoinThreshold``, and shuffled otherwise.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def keep_keys(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``df`` whose key is in ``wanted``.
 
-    ``wanted`` is materialised and counted: a small one is broadcast so that the
-    large side is not shuffled, a large one goes through a shuffled semi join, which
-    adaptive execution splits on hot keys.
-    """
-    wanted = materialize(wanted.select(*on).distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, on, "left_semi")
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has materialised."""
+    root = f"{scratch_root(spark)}/pulselake-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,26 +26,23 @@ def _has_type(kind: Column, data_type: T.DataType) -> Column:
     return kind.isNull() | (kind == "VOID") | fits
 
 
-def _settled(*columns: Column) -> Column:
-    """``columns`` through a one-row generator. Filters on them are not pushed below it,
-    which would evaluate the parsing again for each use of a column."""
-    return F.inline(F.array(F.struct(*columns)))
-
-
 def decode(lines: DataFrame, column: str = "value") -> DataFrame:
     """The record columns of each JSON line, the timestamp still as text, and whether the
-    line is an object whose values have the right JSON types."""
-    parsed = lines.select(F.col(column).alias("line"),
-                          _settled(F.try_parse_json(column).alias("_json")))
-    ok = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
-    values = []
+    line is an object whose values have the right JSON types.
+
+    The line is parsed once, into a variant per column, and passed through a one-row
+    generator: filters on what follows would otherwise be pushed below the parsing and
+    repeat it for each use of a column.
+    """
+    variants = ", ".join(f"{f.name} VARIANT" for f in WIRE_SCHEMA.fields)
+    parsed = lines.select(F.col(column).alias("line"), F.inline(F.array(F.from_json(
+        column, f"{variants}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}))))
+    ok = F.col("_corrupt").isNull() & F.ltrim("line").startswith("{")
     for field in WIRE_SCHEMA.fields:
-        path = f"$.{field.name}"
-        kind = F.schema_of_variant(F.try_variant_get("_json", path, "variant"))
-        ok = ok & _has_type(kind, field.dataType)
-        values.append(F.try_variant_get("_json", path, field.dataType.simpleString())
-                      .alias(field.name))
-    return parsed.select("line", _settled(ok.alias("json_ok"), *values))
+        ok = ok & _has_type(F.schema_of_variant(field.name), field.dataType)
+    values = [F.try_variant_get(f.name, "$", f.dataType.simpleString()).alias(f.name)
+              for f in WIRE_SCHEMA.fields]
+    return parsed.select("line", ok.alias("json_ok"), *values)
 
 
 def forward_defaults(records: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def missing_fields(columns: list[str] = NON_EMPTY_COLUMNS) -> Column:
 def validate(records: DataFrame) -> DataFrame:
     """Adds ``missing``, the empty required texts; ``invalid``, the required columns that
     are null or, for the timestamp, unreadable; and ``reason``, null when accepted."""
-    records = (records.select("*", _settled(to_utc(F.col("timestamp")).alias("event_time")))
+    records = (records.withColumn("event_time", to_utc(F.col("timestamp")))
                .withColumn("missing", missing_fields())
                .withColumn("invalid", _names(
                    REQUIRED_COLUMNS,
