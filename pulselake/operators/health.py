@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_count, error_rate, round_half_up
@@ -12,20 +12,36 @@ from ..functions.quantiles import exact_quantiles, is_small
 from ..schema import EVENT_COLUMNS
 
 
+def newest_rows(df: DataFrame) -> DataFrame:
+    """Rows that hold the newest timestamp: on a day-partitioned table the last day."""
+    if "timestamp_day" not in df.columns:
+        return df
+    return df.where(F.col("timestamp_day") == df.select(F.max("timestamp_day")).scalar())
+
+
 def latest_time(df: DataFrame) -> Column:
-    """Newest timestamp as a scalar subquery, usable in pushed-down filters."""
-    return df.select(F.max("timestamp")).scalar()
+    """Newest timestamp as a scalar subquery."""
+    return newest_rows(df).select(F.max("timestamp")).scalar()
 
 
 def recent_window(df: DataFrame, minutes: int, as_of: Column | datetime | None = None) -> DataFrame:
     """Rows of the last ``minutes`` before ``as_of`` (default: the newest row). The lower
-    end is exclusive. On a day-partitioned table the days are pruned as well."""
-    end = latest_time(df) if as_of is None else F.lit(as_of)
-    start = end - F.expr(f"INTERVAL '{int(minutes)}' MINUTE")
-    rows = df.where((F.col("timestamp") > start) & (F.col("timestamp") <= end))
+    end is exclusive. On a day-partitioned table the days are pruned as well.
+
+    The start of the default window is one scalar subquery, which the scan takes as a
+    pushed-down filter.
+    """
+    span = F.expr(f"INTERVAL '{int(minutes)}' MINUTE")
+    if as_of is None:
+        start = newest_rows(df).select(F.max("timestamp") - span).scalar()
+        rows = df.where(F.col("timestamp") > start)
+    else:
+        start = F.lit(as_of) - span
+        rows = df.where((F.col("timestamp") > start) & (F.col("timestamp") <= F.lit(as_of)))
     if "timestamp_day" in df.columns:
-        rows = rows.where((F.col("timestamp_day") >= F.to_date(start))
-                          & (F.col("timestamp_day") <= F.to_date(end)))
+        rows = rows.where(F.col("timestamp_day") >= F.to_date(start))
+        if as_of is not None:
+            rows = rows.where(F.col("timestamp_day") <= F.to_date(F.lit(as_of)))
     return rows
 
 
@@ -82,7 +98,17 @@ def customer_health(df: DataFrame, minutes: int | None = 5,
 
 
 def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest events first; ties are ordered by trace id."""
+    """Newest events first; ties are ordered by trace id.
+
+    On a day-partitioned table only the newest days that together hold ``limit`` rows are
+    read; the rows per day come from the file footers.
+    """
+    if "timestamp_day" in df.columns:
+        newer = Window.orderBy(F.desc("timestamp_day")).rowsBetween(Window.unboundedPreceding, -1)
+        days = (df.groupBy("timestamp_day").agg(F.count(F.lit(1)).alias("n"))
+                .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+                .where(F.col("newer") < limit))
+        df = df.where(F.col("timestamp_day") >= days.select(F.min("timestamp_day")).scalar())
     return (df.select(*EVENT_COLUMNS)
             .orderBy(F.desc("timestamp"), "trace_id").limit(limit))
 
