@@ -2,13 +2,16 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one aggregation
 buffer. With a customer that owns a third of the table that buffer has no bound, so
-the rank is located first and only the values around it are sorted:
+the rank is located first and only the values around it are looked at:
 
-1. count equal values per group (combined map-side, hashed on group and value, so a
-   hot group is spread over all tasks and a hot value collapses before the shuffle);
-2. sum the counts into logarithmic value bands and run a window over the bands, whose
-   number per group depends on the range of the values, not on their count;
-3. sort only the cells of the few bands that contain a wanted rank.
+1. one pass counts rows per group and logarithmic value band; the counts combine
+   map-side into a few thousand rows per group, whatever the group holds;
+2. a window over the bands of a group tells which bands contain the wanted ranks;
+3. while such a band still holds many rows it is divided again, by another pass;
+4. a last pass counts equal values inside those bands and ranks them.
+
+No pass shuffles rows: bands of interest, at most two per quantile and group, are written
+out, so that the planner knows their size and broadcasts them when they are small.
 """
 
 from __future__ import annotations
@@ -16,19 +19,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Inputs whose files are at most this large are left to the built-in ``percentile``:
 # its buffers cannot outgrow the input.
 SMALL_INPUT_BYTES = 32 << 20
 
-BANDS_PER_E_FOLD = 1024.0
+BANDS_PER_E_FOLD = 256
+REFINEMENT = 4096
+FINEST = BANDS_PER_E_FOLD * REFINEMENT ** 2
+# A band with more rows than this is divided before its values are ranked.
+MAX_BAND_ROWS = 20_000_000
 _LOG_LIMIT = 750.0  # above |ln| of every finite non-zero double
 
 
-def value_band(value: Column) -> Column:
+def value_band(value: Column, per_e_fold: int = BANDS_PER_E_FOLD) -> Column:
     """Band number that never decreases when the value grows."""
     log = F.least(F.greatest(F.log(F.abs(value)), F.lit(-_LOG_LIMIT)), F.lit(_LOG_LIMIT))
-    size = F.floor((log + F.lit(_LOG_LIMIT + 1)) * F.lit(BANDS_PER_E_FOLD))
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    size = F.floor((log + F.lit(_LOG_LIMIT + 1)) * F.lit(float(per_e_fold)))
+    return size * F.signum(value).cast("bigint")
+
+
+def band_counts(df: DataFrame, keys: list[str], value: str, *measures: Column) -> DataFrame:
+    """Values per group and band, with further aggregates; one pass over the rows."""
+    return df.groupBy(*keys, value_band(F.col(value)).alias("_band")).agg(
+        F.count(value).alias("_n"), *measures)
+
+
+def _preceding(*columns: str, by: str):
+    return (Window.partitionBy(*columns).orderBy(by)
+            .rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _sum_before(count: str, window) -> Column:
+    return F.coalesce(F.sum(count).over(window), F.lit(0))
 
 
 def _ranks(total: Column, quantiles: dict[str, float]) -> Column:
@@ -39,46 +63,72 @@ def _ranks(total: Column, quantiles: dict[str, float]) -> Column:
     return F.array_distinct(F.array(*ends))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str,
-                    quantiles: dict[str, float]) -> DataFrame:
-    """One row per group with a linearly interpolated quantile per alias."""
-    cells = (df.where(F.col(value).isNotNull())
-             .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-             .withColumn("_band", value_band(F.col("_v"))))
-
-    group = Window.partitionBy(*keys)
-    before_band = group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = (cells.groupBy(*keys, "_band").agg(F.sum("_c").alias("_n"))
-             .withColumn("_total", F.sum("_n").over(group))
-             .withColumn("_before", F.coalesce(F.sum("_n").over(before_band), F.lit(0)))
-             .withColumn("_wanted", F.filter(
-                 _ranks(F.col("_total"), quantiles),
-                 lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))))
-             .where(F.size("_wanted") > 0)
-             .drop("_n"))
-
-    before_cell = (Window.partitionBy(*keys, "_band").orderBy("_v")
-                   .rowsBetween(Window.unboundedPreceding, -1))
-    hits = (cells.join(bands, [*keys, "_band"])
-            .withColumn("_first", F.col("_before")
-                        + F.coalesce(F.sum("_c").over(before_cell), F.lit(0)))
-            .withColumn("_rank", F.explode(F.filter(
-                "_wanted",
-                lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_c"))))))
-
+def _within(ranks: str | Column, first: str, count: str) -> Column:
+    return F.filter(ranks, lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col(count)))
+
+
+def _bands_of_interest(bands: DataFrame, keys: list[str],
+                       quantiles: dict[str, float]) -> DataFrame:
+    return (bands.groupBy(*keys, "_band").agg(F.sum("_n").alias("_n"))
+            .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+            .withColumn("_first", _sum_before("_n", _preceding(*keys, by="_band")))
+            .withColumn("_wanted", _within(_ranks(F.col("_total"), quantiles), "_first", "_n"))
+            .where(F.size("_wanted") > 0))
+
+
+def _divide(rows: DataFrame, found: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The bands of interest at ``width`` per e-fold, inside the coarser ones in ``found``."""
+    counts = (rows.join(found.select(*keys, "_band"), [*keys, "_band"], "left_semi")
+              .groupBy(*keys, "_band", value_band(F.col("_v"), width).alias("_part"))
+              .agg(F.count(F.lit(1)).alias("_count")))
+    return (counts.join(found, [*keys, "_band"])
+            .withColumn("_first", F.col("_first")
+                        + _sum_before("_count", _preceding(*keys, "_band", by="_part")))
+            .withColumn("_wanted", _within("_wanted", "_first", "_count"))
+            .where(F.size("_wanted") > 0)
+            .select(*keys, F.col("_part").alias("_band"), F.col("_count").alias("_n"), "_total",
+                    "_first", "_wanted"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+                    bands: DataFrame | None = None) -> DataFrame:
+    """One row per group with a linearly interpolated quantile per alias.
+
+    ``bands`` may pass in what ``band_counts`` gave for these or finer keys. Runs the
+    passes that locate the ranks; the last pass is left to the returned DataFrame.
+    """
+    if bands is None:
+        bands = band_counts(df, keys, value)
+    width = BANDS_PER_E_FOLD
+    found = materialize(_bands_of_interest(bands, keys, quantiles), "bands")
+    values = df.select(*keys, F.col(value).alias("_v"))
+
+    def banded(width: int) -> DataFrame:
+        return values.withColumn("_band", value_band(F.col("_v"), width))
+
+    while width < FINEST and (found.agg(F.max("_n")).first()[0] or 0) > MAX_BAND_ROWS:
+        rows, width = banded(width), width * REFINEMENT
+        found = materialize(_divide(rows, found, keys, width), "bands")
+
+    cells = (banded(width).join(found.select(*keys, "_band"), [*keys, "_band"], "left_semi")
+             .groupBy(*keys, "_band", "_v").agg(F.count(F.lit(1)).alias("_count")))
+    hits = (cells.join(found, [*keys, "_band"])
+            .withColumn("_at", F.col("_first")
+                        + _sum_before("_count", _preceding(*keys, "_band", by="_v")))
+            .withColumn("_rank", F.explode(_within("_wanted", "_at", "_count"))))
     # At most two ranks per quantile, so the map stays small whatever the group holds.
-    found = hits.groupBy(*keys).agg(
+    result = hits.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
-        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
+        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_values"))
 
     def interpolate(q: float) -> Column:
         position = F.lit(q) * (F.col("_total") - 1)
         low, high = F.floor(position), F.ceil(position)
         share = position - low
-        at = F.col("_at")
+        at = F.col("_values")
         return F.element_at(at, low) * (F.lit(1.0) - share) + F.element_at(at, high) * share
 
-    return found.select(*keys, *[interpolate(q).alias(name) for name, q in quantiles.items()])
+    return result.select(*keys, *[interpolate(q).alias(name) for name, q in quantiles.items()])
 
 
 def quantiles_by(df: DataFrame, keys: list[str], value: str,

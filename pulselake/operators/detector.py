@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_count
+from ..session import materialize
 
 # Detector settings.
 WINDOW_SECONDS = 60
@@ -20,7 +21,10 @@ ERROR_FRACTION = 0.10
 AVG_LATENCY_MS = 1000
 TRIGGER, REASON = "auto", "anomaly_detected"
 
-_BLOCK_TICKS = 86_400 // TICK_SECONDS
+# Span of the blocks in which slots meet their windows.
+BLOCK_SECONDS = 600
+
+_DAY_TICKS = 86_400 // TICK_SECONDS
 _COOLDOWN_TICKS = COOLDOWN_SECONDS // TICK_SECONDS
 
 
@@ -35,11 +39,17 @@ def with_rates(stats: DataFrame) -> DataFrame:
             .drop("total_latency"))
 
 
+def seconds_since_epoch(time: str) -> Column:
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {time})")
+
+
 def window_stats(df: DataFrame) -> DataFrame:
     """Samples, errors, error fraction and mean latency per customer and tick.
 
-    Rows are first summed into 5 s slots; only slots, not rows, are copied into the
-    twelve windows that hold them, and no shuffle carries rows.
+    Rows are first summed into 5 s slots, so no shuffle carries rows. A slot counts in the
+    twelve windows that hold it. Slots are placed by customer and ten-minute block, those
+    whose windows reach into the next block in both, and are copied into their windows
+    only there: the copies are summed where they are made and never shuffled.
     """
     slots = (df.select("customer_id", "status_code", "latency_ms",
                        F.window(just_before(F.col("timestamp")),
@@ -47,13 +57,20 @@ def window_stats(df: DataFrame) -> DataFrame:
              .groupBy("customer_id", "slot")
              .agg(F.count(F.lit(1)).alias("samples"), error_count().alias("errors"),
                   F.sum("latency_ms").alias("total_latency")))
-    return with_rates(
-        slots.select("customer_id", "samples", "errors", "total_latency",
-                     F.window(just_before(F.col("slot")), f"{WINDOW_SECONDS} seconds",
-                              f"{TICK_SECONDS} seconds")["end"].alias("tick"))
-        .groupBy("customer_id", "tick")
-        .agg(F.sum("samples").alias("samples"), F.sum("errors").alias("errors"),
-             F.sum("total_latency").alias("total_latency")))
+    second = seconds_since_epoch("slot")
+    reach = WINDOW_SECONDS - TICK_SECONDS
+    placed = (slots.withColumn("block", F.explode(F.array_distinct(F.array(
+        F.floor(second / BLOCK_SECONDS), F.floor((second + reach) / BLOCK_SECONDS)))))
+        .repartition("customer_id", "block"))
+    ticks = (placed
+             .withColumn("_step", F.explode(F.sequence(
+                 F.lit(0), F.lit(reach), F.lit(TICK_SECONDS))))
+             .withColumn("tick", F.timestamp_add("SECOND", F.col("_step"), F.col("slot")))
+             .where(F.floor(seconds_since_epoch("tick") / BLOCK_SECONDS) == F.col("block")))
+    return with_rates(ticks.groupBy("customer_id", "block", "tick")
+                      .agg(F.sum("samples").alias("samples"), F.sum("errors").alias("errors"),
+                           F.sum("total_latency").alias("total_latency"))
+                      .drop("block"))
 
 
 def anomalies(stats: DataFrame) -> DataFrame:
@@ -76,15 +93,15 @@ def apply_cooldown(anomalous: DataFrame) -> DataFrame:
     the true start of each day, and the days then fire independently. No task holds more
     than one day of ticks or one entry per day of a customer.
     """
-    number = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', tick)")
-                     / TICK_SECONDS)
-    days = (anomalous
-            .withColumn("_number", number)
-            .withColumn("_day", F.floor(F.col("_number") / _BLOCK_TICKS))
-            .withColumn("_at", (F.col("_number") - F.col("_day") * _BLOCK_TICKS).cast("int"))
-            .groupBy("customer_id", "_day")
-            .agg(F.array_sort(F.collect_list(
-                F.struct("_at", "tick", "samples", "error_rate", "avg_latency"))).alias("_ticks")))
+    number = F.floor(seconds_since_epoch("tick") / TICK_SECONDS)
+    days = materialize(
+        anomalous
+        .withColumn("_number", number)
+        .withColumn("_day", F.floor(F.col("_number") / _DAY_TICKS))
+        .withColumn("_at", (F.col("_number") - F.col("_day") * _DAY_TICKS).cast("int"))
+        .groupBy("customer_id", "_day")
+        .agg(F.array_sort(F.collect_list(
+            F.struct("_at", "tick", "samples", "error_rate", "avg_latency"))).alias("_ticks")))
 
     def fire_or_wait(until: Column, tick: Column) -> Column:
         return F.when(tick["_at"] >= until, tick["_at"] + _COOLDOWN_TICKS).otherwise(until)
@@ -93,7 +110,7 @@ def apply_cooldown(anomalous: DataFrame) -> DataFrame:
         "_ticks", F.sequence(F.lit(0), F.lit(_COOLDOWN_TICKS - 1)),
         lambda untils, tick: F.transform(untils, lambda until: fire_or_wait(until, tick)),
         lambda untils: F.transform(untils, lambda until: F.greatest(
-            until - _BLOCK_TICKS, F.lit(0)))).alias("_left"))
+            until - _DAY_TICKS, F.lit(0)))).alias("_left"))
 
     def next_day(state: Column, day: Column) -> Column:
         start = F.when(day["_day"] == state["day"] + 1, state["left"]).otherwise(0)

@@ -77,7 +77,9 @@ def by_deploy(df: DataFrame, customer: str | None = None, *scope: str,
 
 
 def timeline(df: DataFrame, bucket: str = "1 minute", customer: str | None = None, *scope: str,
-             spread: bool | None = None) -> DataFrame:
+             spread: bool | None = False) -> DataFrame:
+    """Metrics per bucket of time. A group is one bucket of one customer, which its request
+    rate bounds, so the built-in percentile serves at any table size."""
     keys = [*scope, "customer_id", "bucket_start"]
     rows = for_customer(df, customer).withColumn(
         "bucket_start", F.window("timestamp", bucket)["start"])

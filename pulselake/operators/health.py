@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_count, error_rate, round_half_up
-from ..functions.quantiles import exact_quantiles, is_small
+from ..functions.quantiles import band_counts, exact_quantiles, is_small
 from ..schema import EVENT_COLUMNS
+from ..session import materialize
 
 
 def newest_rows(df: DataFrame) -> DataFrame:
@@ -53,10 +54,10 @@ def request_metrics(df: DataFrame, keys: list[str], spread: bool | None = None)
     """Per group: request count, p50/p99 latency (1 dp), error rate (%, 2 dp), latest
     deploy by text order, first and last time.
 
-    A small input takes one aggregation. Otherwise the quantiles are located with
-    ``exact_quantiles`` and the counts go through a first aggregation per deploy
-    version, which keeps the string maximum out of the pass over the raw rows.
-    ``spread`` forces the choice.
+    A small input takes one aggregation. Otherwise a first pass counts everything per
+    deploy version and latency band, and ``exact_quantiles`` goes on from there; grouping
+    by the version keeps the string maximum out of the pass over the rows. ``spread``
+    forces the choice.
     """
     if spread is None:
         spread = not is_small(df)
@@ -70,15 +71,17 @@ def request_metrics(df: DataFrame, keys: list[str], spread: bool | None = None)
             F.max("timestamp").alias("last_seen"))
         p50, p99 = F.col("quantiles")[0], F.col("quantiles")[1]
     else:
-        by_version = df.groupBy(*dict.fromkeys([*keys, "deploy_version"])).agg(
-            F.count(F.lit(1)).alias("_n"), error_count().alias("_errors"),
-            F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-        counts = by_version.groupBy(*keys).agg(
-            F.sum("_n").alias("request_count"),
-            round_half_up(F.lit(100.0) * F.sum("_errors") / F.sum("_n"), 2).alias("error_rate"),
+        bands = materialize(band_counts(
+            df, list(dict.fromkeys([*keys, "deploy_version"])), "latency_ms",
+            F.count(F.lit(1)).alias("_rows"), error_count().alias("_errors"),
+            F.min("timestamp").alias("_earliest"), F.max("timestamp").alias("_latest")), "bands")
+        counts = bands.groupBy(*keys).agg(
+            F.sum("_rows").alias("request_count"),
+            round_half_up(F.lit(100.0) * F.sum("_errors") / F.sum("_rows"), 2)
+            .alias("error_rate"),
             F.max("deploy_version").alias("latest_deploy"),
-            F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"))
-        latency = exact_quantiles(df, keys, "latency_ms", {"p50": 0.5, "p99": 0.99})
+            F.min("_earliest").alias("first_seen"), F.max("_latest").alias("last_seen"))
+        latency = exact_quantiles(df, keys, "latency_ms", {"p50": 0.5, "p99": 0.99}, bands)
         result = counts.join(latency, keys, "left")
         p50, p99 = F.col("p50"), F.col("p99")
     return result.select(

@@ -26,38 +26,32 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as request telemetry (11 columns)."""
     placed = table(spark, sf_dir, "events").selectExpr(
         "event_id", "event_type", "value",
-        "int(regexp_extract(props, '([0-9]+)', 1)) AS k",
+        "int(trim(BOTH '{\"k: }' FROM props)) AS k",
         "user_id % 10 AS slot",
         "user_id % 10 = 6 OR (user_id % 10 = 0 AND user_id >= 10) AS heavy")
-    routed = placed.selectExpr(
-        "event_id", "event_type", "value", "heavy", "event_id >= 800 AS new_deploy",
-        "if(heavy, 'cust_007', concat('cust_', lpad(slot + 1, 3, '0'))) AS customer_id",
-        "CASE WHEN k < if(heavy, 85, 8) THEN '/api/v1/orders'"
-        " WHEN k % 3 = 0 THEN '/api/v1/users'"
-        " WHEN k % 3 = 1 THEN '/api/v1/products'"
-        " ELSE '/api/v1/health' END AS endpoint")
-    judged = routed.selectExpr(
-        "*", "endpoint = '/api/v1/orders' AS orders",
-        "heavy AND new_deploy AND endpoint = '/api/v1/orders' AS degraded",
-        "event_type = 'error' AND (event_id % 10 = 0 OR"
-        " (heavy AND new_deploy AND endpoint = '/api/v1/orders')) AS failed")
-    return judged.selectExpr(
+    # Written out per column rather than step by step: the optimizer copies what a filter
+    # refers to, and short expressions keep the generated code small enough to compile.
+    orders = "k < if(heavy, 85, 8)"
+    degraded = "(heavy AND event_id >= 800 AND k < 85)"
+    failed = f"(event_type = 'error' AND (event_id % 10 = 0 OR {degraded}))"
+    number = "lpad(slot + 1, 3, '0')"
+    return placed.selectExpr(
         "timestampadd(MICROSECOND, event_id * 75000, TIMESTAMP_NTZ '2024-01-01 00:00:00')"
         " AS timestamp",
         "concat('trace-', event_id) AS trace_id",
-        "customer_id",
-        "CASE customer_id WHEN 'cust_001' THEN 'Acme Corp' WHEN 'cust_007'"
-        " THEN 'Wonka Industries' ELSE concat('Customer ', substr(customer_id, 6)) END"
-        " AS customer_name",
-        "endpoint",
-        "if(orders, 'POST', 'GET') AS method",
-        "CASE WHEN failed THEN CASE event_id % 3 WHEN 0 THEN 500 WHEN 1 THEN 502 ELSE 503 END"
+        f"if(heavy, 'cust_007', concat('cust_', {number})) AS customer_id",
+        "CASE WHEN heavy THEN 'Wonka Industries' WHEN slot = 0 THEN 'Acme Corp'"
+        f" ELSE concat('Customer ', {number}) END AS customer_name",
+        f"CASE WHEN {orders} THEN '/api/v1/orders' WHEN k % 3 = 0 THEN '/api/v1/users'"
+        " WHEN k % 3 = 1 THEN '/api/v1/products' ELSE '/api/v1/health' END AS endpoint",
+        f"if({orders}, 'POST', 'GET') AS method",
+        f"CASE WHEN {failed} THEN CASE event_id % 3 WHEN 0 THEN 500 WHEN 1 THEN 502 ELSE 503 END"
         " WHEN event_id % 25 = 0 THEN 404 ELSE 200 END AS status_code",
-        "if(degraded, value * 20, value) AS latency_ms",
-        "if(new_deploy, 'v1.2.4', 'v1.2.3') AS deploy_version",
+        f"if({degraded}, value * 20, value) AS latency_ms",
+        "if(event_id >= 800, 'v1.2.4', 'v1.2.3') AS deploy_version",
         "CASE event_id % 3 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2'"
         " ELSE 'eu-west-1' END AS region",
-        "CASE WHEN NOT failed THEN NULL WHEN event_id % 2 = 0"
+        f"CASE WHEN NOT {failed} THEN NULL WHEN event_id % 2 = 0"
         " THEN 'Database connection pool exhausted' ELSE 'Circuit breaker open' END"
         " AS error_message")
 
