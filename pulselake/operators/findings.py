@@ -26,6 +26,9 @@ EVIDENCE = [
     "WHERE customer_id = '%s' AND status_code >= 500 GROUP BY error_message",
 ]
 
+DRILL_COLUMNS = ["timestamp", "customer_id", "customer_name", "endpoint", "status_code",
+                 "latency_ms", "deploy_version", "error_message"]
+
 STEPS = ["survey", "by_endpoint", "by_deploy", "onset", "error_messages", "finding"]
 
 
@@ -83,12 +86,12 @@ def evidence(df: DataFrame, as_of: Column | datetime | None = None, minutes: int
 
 
 def alert_evidence(alerts: DataFrame, df: DataFrame, minutes: int = 5,
-                   drill_minutes: int = 30) -> DataFrame:
+                   drill_minutes: int = 15) -> DataFrame:
     """``evidence`` for many alerts at once, one session per alert.
 
     Alerts meet the rows before them through (customer, minute), an equality join in
-    which a row meets only the alerts of its customer in the next half hour, which the
-    cooldown keeps few.
+    which a row meets only the alerts of its customer in the next quarter of an hour; the
+    cooldown lets those be three.
     """
     span = F.expr(f"INTERVAL '{int(drill_minutes)}' MINUTE")
     minute = F.window("timestamp", "1 minute")["start"]
@@ -102,7 +105,7 @@ def alert_evidence(alerts: DataFrame, df: DataFrame, minutes: int = 5,
         .withColumn("minute", F.col("minute").cast(df.schema["timestamp"].dataType)))
     # Written out once: five drill-downs read these rows.
     rows = materialize(
-        df.withColumn("minute", minute).join(wanted, ["customer_id", "minute"])
+        df.select(*DRILL_COLUMNS, minute.alias("minute")).join(wanted, ["customer_id", "minute"])
         .where((F.col("timestamp") > F.col("tick") - span)
                & (F.col("timestamp") <= F.col("tick"))).drop("minute"))
     recent = rows.where(F.col("timestamp") > F.col("tick")

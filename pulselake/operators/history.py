@@ -128,12 +128,14 @@ def flatten_messages(objects: DataFrame) -> DataFrame:
     is_message = F.col("_o.type") == "message"
     text = F.coalesce(F.when(message["content"] != "", message["content"]), message["text"],
                       F.lit(""))
+    calls = F.coalesce(
+        F.transform(message["tool_calls"], lambda c: F.coalesce(c["function"]["name"], c["name"])),
+        F.transform(message["function_calls"], lambda c: c["name"]))
     return rows.select(
         "sha", F.col("_o.type").alias("type"),
         F.when(is_message, message["role"]).alias("role"),
         F.when(is_message, F.substring(text, 1, TEXT_CHARS)).alias("text"),
-        F.when(is_message, F.array_join(
-            F.transform(message["function_calls"], lambda c: c["name"]), ", ")).alias("tools"),
+        F.when(is_message, F.array_join(calls, ", ")).alias("tools"),
         F.when(~is_message, F.substring("content", 1, RAW_CHARS)).alias("raw"),
         F.posexplode_outer(F.when(is_message, message["responses"])).alias("response_no", "_r"),
     ).select(

@@ -200,7 +200,7 @@ ALERT_SCOPE = [
     """scoped AS (
   SELECT t.*, a.tick, sha256(a.customer_id || '|' || strftime(a.tick, '%Y-%m-%d %H:%M:%S')) AS session_id
   FROM telemetry t JOIN alerts a ON t.customer_id = a.customer_id
-    AND t.timestamp > a.tick - INTERVAL '30 minutes' AND t.timestamp <= a.tick)""",
+    AND t.timestamp > a.tick - INTERVAL '15 minutes' AND t.timestamp <= a.tick)""",
     f"""reported AS (
   SELECT * FROM (SELECT session_id, customer_id, customer_name, tick, {METRICS} FROM scoped
     WHERE timestamp > tick - INTERVAL '5 minutes' GROUP BY ALL)

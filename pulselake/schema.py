@@ -54,6 +54,10 @@ MESSAGE_SCHEMA = T.StructType([
             T.StructField("name", T.StringType()),
             T.StructField("args", T.MapType(T.StringType(), T.StringType())),
         ]))),
+        T.StructField("tool_calls", T.ArrayType(T.StructType([
+            T.StructField("name", T.StringType()),
+            T.StructField("function", T.StructType([T.StructField("name", T.StringType())])),
+        ]))),
         T.StructField("responses", T.ArrayType(T.StructType([
             T.StructField("name", T.StringType()),
             T.StructField("response", T.StructType([T.StructField("result", T.StringType())])),
