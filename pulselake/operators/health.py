@@ -100,19 +100,21 @@ def customer_health(df: DataFrame, minutes: int | None = 5,
         "first_seen").orderBy(F.desc("p99_latency"), "customer_id", "customer_name")
 
 
-def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest events first; ties are ordered by trace id.
+def newest_days(df: DataFrame, limit: int) -> DataFrame:
+    """On a day-partitioned table, the newest days that together hold ``limit`` rows; the
+    rows per day come from the file footers. Other tables are returned whole."""
+    if "timestamp_day" not in df.columns:
+        return df
+    newer = Window.orderBy(F.desc("timestamp_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = (df.groupBy("timestamp_day").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+            .where(F.col("newer") < limit))
+    return df.where(F.col("timestamp_day") >= days.select(F.min("timestamp_day")).scalar())
 
-    On a day-partitioned table only the newest days that together hold ``limit`` rows are
-    read; the rows per day come from the file footers.
-    """
-    if "timestamp_day" in df.columns:
-        newer = Window.orderBy(F.desc("timestamp_day")).rowsBetween(Window.unboundedPreceding, -1)
-        days = (df.groupBy("timestamp_day").agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-                .where(F.col("newer") < limit))
-        df = df.where(F.col("timestamp_day") >= days.select(F.min("timestamp_day")).scalar())
-    return (df.select(*EVENT_COLUMNS)
+
+def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:
+    """Newest events first; ties are ordered by trace id."""
+    return (newest_days(df, limit).select(*EVENT_COLUMNS)
             .orderBy(F.desc("timestamp"), "trace_id").limit(limit))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import SLO_MS, health_status, latency_class
 from .detector import REASON
+from .health import newest_days
 
-FEED_COLUMNS = ["event", "data", "ts", "feed_key"]
 # Fields of a telemetry feed message, in order.
 FEED_TELEMETRY = ["customer_id", "customer_name", "endpoint", "status_code", "latency_ms",
                   "deploy_version"]
@@ -49,30 +49,39 @@ def sort_health(health: DataFrame, key: str = "p99", ascending: bool = False) ->
     return rows.orderBy(first, "customer_id", "customer_name")
 
 
-def _envelope(df: DataFrame, event: str, ts: str, key: Column, fields: list) -> DataFrame:
-    return df.select(F.lit(event).alias("event"), F.to_json(F.struct(*fields)).alias("data"),
-                     F.col(ts).alias("ts"), key.alias("feed_key"))
+def _envelope(df: DataFrame, event: str, ts: str, key: Column, fields: list,
+              latest: int | None) -> DataFrame:
+    rows = df.withColumn("feed_key", key)
+    if latest is not None:
+        rows = rows.orderBy(F.desc(ts), "feed_key").limit(latest)
+    return rows.select(F.lit(event).alias("event"), F.to_json(F.struct(*fields)).alias("data"),
+                       F.col(ts).alias("ts"), "feed_key")
 
 
 def feed(events: DataFrame, alerts: DataFrame | None = None, findings: DataFrame | None = None,
-         deploys: DataFrame | None = None) -> DataFrame:
-    """All sources as ``{event, data}`` messages with their time."""
-    parts = [_envelope(events, "telemetry", "timestamp", F.col("trace_id"), FEED_TELEMETRY)]
+         deploys: DataFrame | None = None, latest: int | None = None) -> DataFrame:
+    """All sources as ``{event, data}`` messages with their time. ``latest`` keeps the
+    newest rows of each source, enough for a ``feed_tail`` of that length, before any
+    message is built."""
+    if latest is not None:
+        events = newest_days(events, latest)
+    parts = [_envelope(events, "telemetry", "timestamp", F.col("trace_id"), FEED_TELEMETRY,
+                       latest)]
     if alerts is not None:
         parts.append(_envelope(alerts, "agent:cycle_start", "tick", F.col("customer_id"), [
-            "customer_id", F.lit(REASON).alias("trigger")]))
+            "customer_id", F.lit(REASON).alias("trigger")], latest))
     if findings is not None:
         parts.append(_envelope(findings, "agent:finding", "created_at", F.col("id"), [
-            "id", "session_id", "severity", "customer_id", "customer_name", "title"]))
+            "id", "session_id", "severity", "customer_id", "customer_name", "title"], latest))
         calls = findings.select(
             "created_at", "id", F.posexplode("evidence_queries").alias("n", "sql"))
         parts.append(_envelope(
             calls, "agent:tool_call", "created_at",
             F.concat("id", F.lit(":"), F.col("n").cast("string")),
-            [F.lit("run_sql").alias("tool"), "sql"]))
+            [F.lit("run_sql").alias("tool"), "sql"], latest))
     if deploys is not None:
         parts.append(_envelope(deploys, "scenario", "first_seen", F.col("deploy_version"), [
-            F.lit("deploy_seen").alias("event"), "deploy_version"]))
+            F.lit("deploy_seen").alias("event"), "deploy_version"], latest))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -141,10 +141,10 @@ def _message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.flatten_messages(history.content_hash(derived.tool_messages(spark, sf_dir)))
 
 
-def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _feed(spark: SparkSession, sf_dir: str, latest: int | None = None) -> DataFrame:
     events = telemetry(spark, sf_dir)
     return views.feed(events, _alerts(spark, sf_dir), _stored_findings(spark, sf_dir),
-                      health.deploy_history(events))
+                      health.deploy_history(events), latest)
 
 
 def _investigation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _catalog() -> dict[str, Query]:
         "health_sorted": lambda s, d: views.sort_health(_health(s, d), "customer", True),
         "feed_union": lambda s, d: _feed(s, d),
         "feed_summary": lambda s, d: views.feed_summary(_feed(s, d)),
-        "feed_tail": lambda s, d: views.feed_tail(_feed(s, d)),
+        "feed_tail": lambda s, d: views.feed_tail(_feed(s, d, views.FEED_LIMIT)),
         "status_summary": lambda s, d: views.status_summary(
             telemetry(s, d), _stored_findings(s, d)),
         "exposure_curve": lambda s, d: exposure.exposure_curve(telemetry(s, d)),
