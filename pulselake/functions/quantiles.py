@@ -10,8 +10,9 @@ the rank is located first and only the values around it are looked at:
 3. while such a band still holds many rows it is divided again, by another pass;
 4. a last pass counts equal values inside those bands and ranks them.
 
-No pass shuffles rows: bands of interest, at most two per quantile and group, are written
-out, so that the planner knows their size and broadcasts them when they are small.
+The bands of interest, at most two per quantile and group, are written out, so that the
+planner knows their size. While they are small enough to be broadcast no pass shuffles
+rows; with very many groups the rows are joined to them through a shuffle.
 """
 
 from __future__ import annotations
