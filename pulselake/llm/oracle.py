@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, secrets
 from .common import WORD
 
 
@@ -72,5 +72,31 @@ SELECT doc_id, size, source_size, CAST(round(target, 6) AS DOUBLE) AS target,
 FROM timed"""
 
 
+def _spans(kind: str, regex: str, group: int, least: int, order: int) -> str:
+    """Matches and the texts between them, in DuckDB: start of a match = lengths of both so far."""
+    return f"""
+  SELECT id, '{kind}' AS kind, {order} AS ord, start, start + length(hit) AS stop FROM (
+    SELECT id, hit, value, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (
+        PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT id, unnest(regexp_extract_all(text, {_sql_text(regex)})) AS hit,
+                 unnest(regexp_extract_all(text, {_sql_text(regex)}, {group})) AS value,
+                 unnest(string_split_regex(text, {_sql_text(regex)})[1:-2]) AS gap,
+                 generate_subscripts(regexp_extract_all(text, {_sql_text(regex)}), 1) AS n
+          FROM docs WHERE regexp_matches(text, {_sql_text(regex)}))
+    WINDOW w AS (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING)) WHERE length(value) >= {least}"""
+
+
+OP4 = f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_spans(r.kind, r.regex, r.group, r.least, n) for n, r in enumerate(secrets.RULES))}),
+marked AS (
+  SELECT *, kind || ':' || start || ':' || stop AS span FROM found)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)},
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, ord) FILTER (ord < {len(secrets.BASE_RULES)}), ''))
+    AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, ord), '') AS spans
+FROM docs LEFT JOIN marked USING (id) GROUP BY id, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5, "op6_mix": OP6}
+    return {"op4_secrets": OP4, "op5_chat": OP5, "op6_mix": OP6}
