@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, oracle, secrets
+from . import bpe, chat, minhash, mixing, oracle, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, function: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash": _over("documents", minhash.minhash_digest),
         "op3_bpe": _over("documents", bpe.bpe_digest),
         "op4_secrets": _over("documents", secrets.secret_digest),
         "op5_chat": _over("conversations", chat.chat_digests),
