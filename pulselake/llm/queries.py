@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, oracle, secrets
+from . import bpe, chat, minhash, mixing, oracle, secrets, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op4_secrets": _over("documents", secrets.secret_digest),
         "op5_chat": _over("conversations", chat.chat_digests),
         "op6_mix": _over("documents", mixing.mix_digest),
+        "op10_shard": _over("documents", sharding.shard_digest),
     }
 
 
