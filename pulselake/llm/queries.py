@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, oracle, secrets, sharding
+from . import bpe, chat, minhash, mixing, oracle, quality, secrets, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,20 @@ def _over(name: str, function: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: function(table(spark, sf_dir, name))
 
 
+def _over_labelled(function: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: function(table(spark, sf_dir, "documents"),
+                                          table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": _over("documents", minhash.minhash_digest),
+        "op2_toxicity": _over_labelled(toxicity.toxicity_scores),
         "op3_bpe": _over("documents", bpe.bpe_digest),
         "op4_secrets": _over("documents", secrets.secret_digest),
         "op5_chat": _over("conversations", chat.chat_digests),
         "op6_mix": _over("documents", mixing.mix_digest),
+        "op7_quality": _over_labelled(quality.quality_scores),
         "op10_shard": _over("documents", sharding.shard_digest),
     }
 
