@@ -93,6 +93,17 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
 
 
+OP8 = """
+WITH valid AS (
+  SELECT vec_id, CAST(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS BIGINT[]) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+  FROM valid a JOIN valid b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
 OP9 = """
 WITH RECURSIVE valid AS (
   SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm
@@ -138,4 +149,4 @@ FROM docs LEFT JOIN marked USING (id) GROUP BY id, doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op4_secrets": OP4, "op5_chat": OP5, "op6_mix": OP6, "op9_embeddings": OP9}
+    return {"op1_minhash": OP1, "op4_secrets": OP4, "op5_chat": OP5, "op6_mix": OP6, "op8_topk": OP8, "op9_embeddings": OP9}

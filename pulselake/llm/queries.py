@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, minhash, mixing, oracle, quality, secrets, sharding, toxicity
+from . import bpe, chat, embeddings, minhash, mixing, oracle, quality, secrets, sharding, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op5_chat": _over("conversations", chat.chat_digests),
         "op6_mix": _over("documents", mixing.mix_digest),
         "op7_quality": _over_labelled(quality.quality_scores),
+        "op8_topk": _over("embeddings", topk.topk_digest),
         "op9_embeddings": _over("embeddings", embeddings.near_vectors),
         "op10_shard": _over("documents", sharding.shard_digest),
     }
