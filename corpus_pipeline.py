@@ -4,21 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulselake.llm import mixing
+from pulselake.llm import bpe, minhash, mixing, secrets, toxicity
 from pulselake.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates; of rows
+    that repeat a doc_id, or lack one and have equal texts, one row."""
+    groups = minhash.near_duplicates(docs)
+    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
+    unnamed = F.when(F.col("doc_id").isNull(), F.md5("text"))
+    return (docs.join(dropped, "doc_id", "left_anti").withColumn("_unnamed", unnamed)
+            .dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their texts replaced by a mark; ``n_chars`` follows."""
+    clean = secrets.redact(F.col("text"), F.col("spans"))
+    found = secrets.scan(docs).withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(
+            F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
+            .otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in training order."""
     return mixing.curriculum(docs).select(*docs.columns)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, with their digest and that of the text they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                public_tokenizers.PATTERN, ids=True)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("secrets", hide_secrets),
     ("mixing", mix_sources),
+    ("encoding", encode),
 ]
 # Boosted trees, hashed signatures and byte-pair merges have no SQL form.
 ORACLE_SQL: str | None = None

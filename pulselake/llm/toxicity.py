@@ -19,6 +19,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, small_batches
 from .learning import calibrated, held_out, training_rows, with_decision
@@ -132,7 +133,8 @@ def featurize(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame
     """The ``keep`` columns and ``features`` of whole texts."""
     small_batches(docs.sparkSession, 2000)
     rows = docs.select(*keep, "text")
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.drop("text").dtypes) + ", values array<double>"
+    kinds = T.StructType([*rows.drop("text").schema.fields,
+                          T.StructField("values", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon)
@@ -145,18 +147,18 @@ def featurize(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame
     return rows.mapInArrow(run, kinds).withColumn("features", array_to_vector("values")).drop("values")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1,
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``.
+def scored_rows(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
+    """``doc``, a struct of all columns of ``docs`` whatever their names, and ``score``.
 
     Null and empty texts have features of 0 and are scored by them. Unless both labels occur
     among the learnt rows, the score is 0 throughout: nothing is known to be toxic. Repeated
-    rows are scored alike, further columns dropped.
+    rows are scored alike.
     """
     scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     training = training_rows(docs, labels, "toxic", held_out(modulus, remainder), scratch)
     if training is None:
-        return with_decision(docs.withColumn("score", F.lit(0.0)), modulus, remainder, threshold)
+        return rows.select("doc", F.lit(0.0).alias("score"))
     lexicon = learn_lexicon(training)
     known = scratch.keep(featurize(training, lexicon, ["label", "calibrates"]), "known")
     fold = known.where("not calibrates")
@@ -167,6 +169,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remain
     def probability(df: DataFrame) -> DataFrame:
         return trees.transform(df).withColumn("toxic_odds", vector_to_array("probability")[1])
 
-    scored = calibrated(probability(featurize(docs, lexicon, ["doc_id"])), probability(known),
-                        "toxic_odds")
-    return with_decision(scored, modulus, remainder, threshold)
+    return calibrated(probability(featurize(rows, lexicon, ["doc"])), probability(known),
+                      "toxic_odds").select("doc", "score")
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1,
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``; see
+    ``scored_rows``. Columns but doc_id and text are not looked at."""
+    scored = scored_rows(docs.select("doc_id", "text"), labels, modulus, remainder)
+    return with_decision(scored.select("doc.doc_id", "score"), modulus, remainder, threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score stays below ``threshold``, with all their columns."""
+    return scored_rows(docs, labels).where(F.col("score") < threshold).select("doc.*")
