@@ -8,9 +8,14 @@
    pairs for which it is below ``MISS`` are dropped.
 4. Survivors are compared exactly, on the full shingle sets of their whole texts.
 5. Links give components. Members of one bucket that are still in different components are
-   paired with each other, all of them, and go through 3 and 4 as well. So a bucket of
+   all compared with each other, in tiles of two blocks, by 3 and 4 as well. Where both were
+   compared exactly with the bucket's smallest member p, their intersection is at most
+   ``min(|x&p|, |y&p|) + min(|x-p|, |y-p|)``, which spares most of the rest. So a bucket of
    thousands of near copies costs one pair each, and still no candidate pair is lost but
    those inside one component, which could not change the result.
+
+Joins carry a merge hint where one side is small on small inputs only: a plan that holds at
+every size is shuffled alike at every size.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ BANDS, ROWS = 25, 5
 HASHES = 128
 #: Hashes per verification batch, and the posterior below which a pair is dropped.
 BATCH, MISS = 32, 1e-6
+#: Members of a bucket in one block of a tile.
+BLOCK = 1024
 
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLY = _RANDOM.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -117,30 +124,91 @@ def least_matches(seen: int, threshold: float, miss: float) -> int:
     return seen
 
 
+def _bounds(percent: int, miss: float) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
+
+
+def _alive(left: np.ndarray, right: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """The rows of two arrays of signatures that no batch rules out."""
+    alive = np.arange(len(left))
+    matches = np.zeros(len(left), np.int64)
+    for seen, least in bounds:
+        part = slice(seen - BATCH, seen)
+        matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
+        alive = alive[matches[alive] >= least]
+    return alive
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+
+
 def prune(pairs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """The pairs ``(a, b)`` of ``(a, b, sig_a, sig_b)`` that the signatures don't rule out."""
-    bounds = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
+    bounds = _bounds(percent, miss)
     small_batches(pairs.sparkSession, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4")
-                           .reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            alive = np.arange(batch.num_rows)
-            matches = np.zeros(batch.num_rows, np.int64)
-            for seen, least in bounds:
-                part = slice(seen - BATCH, seen)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= least]
+            alive = _alive(_signatures(batch.column("sig_a")), _signatures(batch.column("sig_b")),
+                           bounds)
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def bucket_tiles(members: DataFrame) -> DataFrame:
+    """A row of ``members`` for each tile ``(bucket, i, j)``, i <= j, that its block is in."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))
+    rows = members.join(blocks.hint("merge"), "bucket").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(
+        F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return rows.withColumn("t", F.explode(other)).select(
+        *members.columns, "block", "t.i", "t.j")
+
+
+def compare_tiles(tiled: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """Pairs ``(a, b)`` of a tile's members of different ``label`` that neither the sizes, nor
+    the intersections ``both`` with the bucket's first member (-1: unknown), nor the signatures rule out. Of
+    the buckets that a pair shares only that of the first band gives it."""
+    bounds, wide = _bounds(percent, miss), 4 * ROWS
+
+    def possible(n, both, x, y) -> np.ndarray:
+        """Whether the size of the intersection may still suffice."""
+        most = np.minimum(n[x], n[y])
+        known = (both[x] >= 0) & (both[y] >= 0)
+        near = np.minimum(both[x], both[y]) + np.minimum(n[x] - both[x], n[y] - both[y])
+        most = np.where(known, np.minimum(most, near), most)
+        return 100 * most >= percent * (n[x] + n[y] - most)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label, n, both, block = (table.column(c).to_numpy() for c in
+                                      ("id", "label", "n", "both", "block"))
+        sig = _signatures(table.column("sig"))
+        band = table.column("band")[0].as_py()
+        keys = np.ascontiguousarray(sig[:, :BANDS * ROWS]).view(f"V{wide}").reshape(-1, BANDS)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found: list[np.ndarray] = []
+        for x in left:
+            y = right[(label[right] != label[x]) & ((ids[right] > ids[x]) | (i != j))]
+            y = y[possible(n, both, np.full(len(y), x), y)]
+            if len(y):
+                y = y[_alive(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], bounds)]
+            if len(y) and band:
+                y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+            if len(y):
+                found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return tiled.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def confirm(pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(a, b)`` of ``(a, b, text_a, text_b)`` that link by their full sets."""
+    """``(a, b, both, links)`` of ``(a, b, text_a, text_b)``: the size of the intersection of
+    the full sets, and whether it makes a link."""
     small_batches(pairs.sparkSession, 128)
 
     def shingles(text: str) -> set:
@@ -151,35 +219,28 @@ def confirm(pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, set()
         for batch in batches:
-            keep = []
+            both, links = [], []
             columns = [batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")]
-            for row, (a, text_a, text_b) in enumerate(zip(*columns)):
+            for a, text_a, text_b in zip(*columns):
                 if last != (a, text_a):
                     last, known = (a, text_a), shingles(text_a)
                 other = shingles(text_b)
-                both = len(known & other)
-                if 100 * both >= percent * (len(known) + len(other) - both):
-                    keep.append(row)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                both.append(len(known & other))
+                links.append(100 * both[-1] >= percent * (len(known) + len(other) - both[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()),
+                 pa.array(links, pa.bool_())], names=["a", "b", "both", "links"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(
+        run, "a bigint, b bigint, both bigint, links boolean")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, size: int,
-           percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of representatives that link."""
-    signed = pairs.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(
-        reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    left = scratch.keep(prune(signed, percent), "survivors")
-    named = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    texts = scratch.keep(
-        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("text is not null")
-        .join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    paired = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = scratch.keep(confirm(paired, size, percent), "links")
-    scratch.drop(left, texts)
-    return links
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with ``column`` of both documents, from ``table`` by id."""
+    for side in ("b", "a"):  # at last by a, so that pairs of one a follow each other
+        pairs = pairs.join(table.select(F.col("id").alias(side), F.col(column).alias(
+            f"{column}_{side}")).hint("merge"), side)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -193,38 +254,48 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     """
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(sign(docs, size), "signed")
-    members = signed.where("key is not null and doc_id is not null")
-    classes = members.groupBy("key").agg(F.min("doc_id").alias("id"))
+    named = signed.where("key is not null and doc_id is not null")
+    classes = named.groupBy("key").agg(F.min("doc_id").alias("id"))
     reps = scratch.keep(
-        members.select("key", F.col("doc_id").alias("id"), "sig")
-        .join(classes, ["key", "id"], "left_semi").dropDuplicates(["id"]), "reps")
+        named.select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig")
+        .join(classes.hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["id"]), "reps")
     bands = reps.select("id", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
-            i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("bucket"))
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(
+            i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))))
+        .alias("s")).select("id", "s.band", "s.bucket")
     first = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"))
     crowded = first.where("a != z").drop("z")
-    buckets = scratch.keep(bands.join(crowded, "bucket"), "buckets")  # only shared ones
+    buckets = scratch.keep(bands.join(crowded.hint("merge"), "bucket"), "buckets")
+    texts = scratch.keep(
+        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("text is not null")
+        .join(buckets.select("id").distinct().hint("merge"), "id", "left_semi")
+        .dropDuplicates(["id"]), "texts")
     stars = buckets.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    links = _links(stars, reps, docs, scratch, size, percent)
-    found = scratch.keep(connected_components(links), "components")
-    labelled = buckets.join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("bucket").agg(
+    checked = scratch.keep(confirm(_with_both(prune(
+        _with_both(stars, reps, "sig"), percent), texts, "text"), size, percent), "checked")
+    found = scratch.keep(connected_components(checked.where("links").select("a", "b")), "components")
+    labelled = buckets.join(found.hint("merge"), "id", "left").withColumn(
+        "label", F.coalesce("component", "id")).drop("component")
+    # Pairs with the first member of a bucket are done; what is left needs two others apart.
+    others = labelled.where("id != a")
+    mixed = others.groupBy("bucket").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    apart = scratch.keep(labelled.join(mixed, "bucket").select("bucket", "id", "a", "label"), "apart")
-    other = apart.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    rest = (apart.where("id != a").join(other, "bucket")  # with the smallest: done above
-            .where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")))
-            .select(F.col("id").alias("a"), "b").distinct())
-    more = _links(rest, reps, docs, scratch, size, percent)
-    joined = more.join(found.toDF("a", "x"), "a", "left").join(
+    members = (others.join(mixed.hint("merge"), "bucket")
+               .join(checked.select("a", F.col("b").alias("id"), "both").hint("merge"), ["a", "id"],
+                     "left").withColumn("both", F.coalesce("both", F.lit(-1)))
+               .join(reps.select("id", "n", "sig").hint("merge"), "id"))
+    rest = scratch.keep(compare_tiles(bucket_tiles(members), percent), "rest")
+    more = scratch.keep(confirm(_with_both(rest, texts, "text"), size, percent), "more")
+    joined = more.where("links").join(found.toDF("a", "x"), "a", "left").join(
         found.toDF("b", "y"), "b", "left").select(
         F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     bridges = connected_components(joined).toDF("component", "root")
+    scratch.drop(buckets, texts, checked, rest, more)
     final = classes.join(found, "id", "left").withColumn(
         "component", F.coalesce("component", "id")).join(bridges, "component", "left").select(
         "key", F.coalesce("root", "component").alias("root"))
     # A doc_id that repeats with another text joins its classes by way of the smallest root.
-    return (signed.select("doc_id", "n_shingles", "key").join(final, "key", "left")
+    return (signed.select("doc_id", "n_shingles", "key").join(final.hint("merge"), "key", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
                     .alias("component_id"))
