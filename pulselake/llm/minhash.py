@@ -2,17 +2,18 @@
 
 1. Documents with the same word sequence are one class; its smallest doc_id stands for it.
 2. Signatures are cut into bands; documents that share a band are candidates. In each bucket
-   every member is paired with the smallest one.
+   every member is paired with the one that meets most others, the leader.
 3. Pairs are verified in batches of hashes. After each batch, given the matches so far, the
    posterior probability that the similarity reaches the threshold is known (uniform prior);
    pairs for which it is below ``MISS`` are dropped.
 4. Survivors are compared exactly, on the full shingle sets of their whole texts.
-5. Links give components. Members of one bucket that are still in different components are
-   all compared with each other, in tiles of two blocks, by 3 and 4 as well. Where both were
-   compared exactly with the bucket's smallest member p, their intersection is at most
-   ``min(|x&p|, |y&p|) + min(|x-p|, |y-p|)``, which spares most of the rest. So a bucket of
-   thousands of near copies costs one pair each, and still no candidate pair is lost but
-   those inside one component, which could not change the result.
+5. Links give components. Documents with the same leader that are still in different
+   components are all compared with each other, in tiles of two blocks: by their signatures,
+   and, where both were compared exactly with the leader, by what they keep of its shingles
+   (a bitmap) and by the hashes of their other shingles, which bound their intersection from
+   above, as a rule to the exact number. What is left goes through 4. So a bucket of thousands
+   of near copies costs one pair each, and still no candidate pair is lost but those inside
+   one component, which could not change the result.
 
 Joins carry a merge hint where one side is small on small inputs only: a plan that holds at
 every size is shuffled alike at every size.
@@ -39,8 +40,8 @@ BANDS, ROWS = 25, 5
 HASHES = 128
 #: Hashes per verification batch, and the posterior below which a pair is dropped.
 BATCH, MISS = 32, 1e-6
-#: Members of a bucket in one block of a tile.
-BLOCK = 1024
+#: Documents in one block of a tile, and about the most bytes of them.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLY = _RANDOM.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -157,58 +158,88 @@ def prune(pairs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataF
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def bucket_tiles(members: DataFrame) -> DataFrame:
-    """A row of ``members`` for each tile ``(bucket, i, j)``, i <= j, that its block is in."""
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))
-    rows = members.join(blocks.hint("merge"), "bucket").withColumn(
+def leader_tiles(members: DataFrame) -> DataFrame:
+    """A row of ``members`` for each tile ``(a, i, j)``, i <= j, that its block is in."""
+    weight = F.count(F.lit(1)) / BLOCK + F.sum(F.coalesce(F.length("shape"), F.lit(0))) / BLOCK_BYTES
+    blocks = members.groupBy("a").agg(F.ceil(weight).cast("int").alias("of"))
+    rows = members.join(blocks.hint("merge"), "a").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(
         F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    return rows.withColumn("t", F.explode(other)).select(
-        *members.columns, "block", "t.i", "t.j")
+    return rows.withColumn("t", F.explode(other)).select(*members.columns, "block", "t.i", "t.j")
+
+
+class Shapes:
+    """What documents keep of a leader's shingles, and the hashes of their other ones."""
+
+    def __init__(self, shapes: list[bytes | None], kept: list[int | None]):
+        self.known = np.array([s is not None for s in shapes])
+        width = next((k for k in kept if k is not None), 0)
+        self.bits = np.zeros((len(shapes), width), np.uint8)
+        self.others = [np.zeros(0, np.uint64)] * len(shapes)
+        for row, shape in enumerate(shapes):
+            if shape is not None:
+                self.bits[row] = np.frombuffer(shape, np.uint8, width)
+                self.others[row] = np.frombuffer(shape, "<u8", -1, width)
+        self.more = np.array([len(o) for o in self.others], np.int64)
+
+    def at_most(self, x: int, y: np.ndarray, needed: np.ndarray) -> np.ndarray:
+        """Upper bound of the intersections of ``x`` with ``y``, all of them known; worked out
+        to the end only where it may reach ``needed``."""
+        most = np.bitwise_count(self.bits[y] & self.bits[x]).sum(axis=1).astype(np.int64)
+        least = np.minimum(self.more[y], self.more[x])
+        open_ = np.flatnonzero((most + least >= needed) & (least > 0))
+        if len(open_):
+            parts = [self.others[k] for k in y[open_].tolist()]
+            hit = np.isin(np.concatenate(parts), self.others[x])
+            ends = np.cumsum([len(p) for p in parts])
+            total = np.concatenate([[0], np.cumsum(hit)])
+            least[open_] = total[ends] - total[np.concatenate([[0], ends[:-1]])]
+        return most + least
 
 
 def compare_tiles(tiled: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """Pairs ``(a, b)`` of a tile's members of different ``label`` that neither the sizes, nor
-    the intersections ``both`` with the bucket's first member (-1: unknown), nor the signatures rule out. Of
-    the buckets that a pair shares only that of the first band gives it."""
-    bounds, wide = _bounds(percent, miss), 4 * ROWS
-
-    def possible(n, both, x, y) -> np.ndarray:
-        """Whether the size of the intersection may still suffice."""
-        most = np.minimum(n[x], n[y])
-        known = (both[x] >= 0) & (both[y] >= 0)
-        near = np.minimum(both[x], both[y]) + np.minimum(n[x] - both[x], n[y] - both[y])
-        most = np.where(known, np.minimum(most, near), most)
-        return 100 * most >= percent * (n[x] + n[y] - most)
+    """Pairs ``(a, b)`` of a tile's documents of different ``label`` that neither the sizes,
+    nor the signatures, nor what is known of them by way of the leader rules out."""
+    bounds = _bounds(percent, miss)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, label, n, both, block = (table.column(c).to_numpy() for c in
-                                      ("id", "label", "n", "both", "block"))
+        ids, label, n, block = (table.column(c).to_numpy() for c in ("id", "label", "n", "block"))
         sig = _signatures(table.column("sig"))
-        band = table.column("band")[0].as_py()
-        keys = np.ascontiguousarray(sig[:, :BANDS * ROWS]).view(f"V{wide}").reshape(-1, BANDS)
+        shapes = Shapes(table.column("shape").to_pylist(), table.column("width").to_pylist())
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[np.ndarray] = []
-        for x in left:
+        for x in left.tolist():
             y = right[(label[right] != label[x]) & ((ids[right] > ids[x]) | (i != j))]
-            y = y[possible(n, both, np.full(len(y), x), y)]
+            # 100 * both >= percent * union, solved for the intersection.
+            needed = -(-percent * (n[y] + n[x]) // (100 + percent))
+            fits = np.minimum(n[y], n[x]) >= needed
+            y, needed = y[fits], needed[fits]
             if len(y):
-                y = y[_alive(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], bounds)]
-            if len(y) and band:
-                y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+                alive = _alive(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], bounds)
+                y, needed = y[alive], needed[alive]
+            if len(y) and shapes.known[x]:
+                known = shapes.known[y]
+                most = needed.copy()
+                most[known] = shapes.at_most(x, y[known], needed[known])
+                y = y[most >= needed]
             if len(y):
                 found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return tiled.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return tiled.groupBy("a", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _hashes(shingles: set) -> np.ndarray:
+    joined = map(b"\0".join, shingles)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(shingles))
 
 
 def confirm(pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``(a, b, both, links)`` of ``(a, b, text_a, text_b)``: the size of the intersection of
-    the full sets, and whether it makes a link."""
+    """``(a, b, links, width, shape)`` of ``(a, b, text_a, text_b)``: whether the full sets
+    link, and b as seen from a: ``width`` bytes of bitmap, then hashes (see ``Shapes``)."""
     small_batches(pairs.sparkSession, 128)
 
     def shingles(text: str) -> set:
@@ -217,22 +248,27 @@ def confirm(pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
         return set(zip(*[words[i:len(words) - n + 1 + i] for i in range(n)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
+        last, known, order = None, set(), []
         for batch in batches:
-            both, links = [], []
+            links, widths, shapes = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")]
             for a, text_a, text_b in zip(*columns):
                 if last != (a, text_a):
                     last, known = (a, text_a), shingles(text_a)
+                    order = sorted(known)
                 other = shingles(text_b)
-                both.append(len(known & other))
-                links.append(100 * both[-1] >= percent * (len(known) + len(other) - both[-1]))
+                both = len(known & other)
+                links.append(100 * both >= percent * (len(known) + len(other) - both))
+                bits = np.packbits(np.fromiter((s in other for s in order), bool, len(order)))
+                widths.append(len(bits))
+                shapes.append(bits.tobytes() + _hashes(other - known).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()),
-                 pa.array(links, pa.bool_())], names=["a", "b", "both", "links"])
+                [batch.column("a"), batch.column("b"), pa.array(links, pa.bool_()),
+                 pa.array(widths, pa.int32()), pa.array(shapes, pa.binary())],
+                names=["a", "b", "links", "width", "shape"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a bigint, b bigint, both bigint, links boolean")
+        run, "a bigint, b bigint, links boolean, width int, shape binary")
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -260,37 +296,41 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         named.select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig")
         .join(classes.hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["id"]), "reps")
     bands = reps.select("id", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(
-            i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))))
-        .alias("s")).select("id", "s.band", "s.bucket")
-    first = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"))
-    crowded = first.where("a != z").drop("z")
-    buckets = scratch.keep(bands.join(crowded.hint("merge"), "bucket"), "buckets")
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
+            i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("bucket"))
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("z")).where("z > 1")
+    shared = scratch.keep(bands.join(sizes.hint("merge"), "bucket"), "shared")
+    # Who meets most others stands in the middle of them, and leads its buckets.
+    meets = shared.groupBy("id").agg(F.sum("z").alias("meets"))
+    leads = shared.join(meets.hint("merge"), "id").groupBy("bucket").agg(
+        F.max(F.struct("meets", -F.col("id"))).alias("lead")).select(
+        "bucket", (-F.col("lead.col2")).alias("a"))
+    stars = scratch.keep(shared.join(leads.hint("merge"), "bucket").where("id != a").select(
+        "a", F.col("id").alias("b")).distinct(), "stars")
     texts = scratch.keep(
         docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("text is not null")
-        .join(buckets.select("id").distinct().hint("merge"), "id", "left_semi")
+        .join(shared.select("id").distinct().hint("merge"), "id", "left_semi")
         .dropDuplicates(["id"]), "texts")
-    stars = buckets.where("id != a").select("a", F.col("id").alias("b")).distinct()
     checked = scratch.keep(confirm(_with_both(prune(
         _with_both(stars, reps, "sig"), percent), texts, "text"), size, percent), "checked")
     found = scratch.keep(connected_components(checked.where("links").select("a", "b")), "components")
-    labelled = buckets.join(found.hint("merge"), "id", "left").withColumn(
+    labelled = stars.withColumnRenamed("b", "id").join(found.hint("merge"), "id", "left").withColumn(
         "label", F.coalesce("component", "id")).drop("component")
-    # Pairs with the first member of a bucket are done; what is left needs two others apart.
-    others = labelled.where("id != a")
-    mixed = others.groupBy("bucket").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    members = (others.join(mixed.hint("merge"), "bucket")
-               .join(checked.select("a", F.col("b").alias("id"), "both").hint("merge"), ["a", "id"],
-                     "left").withColumn("both", F.coalesce("both", F.lit(-1)))
+    # Pairs with the leader are done; what is left needs two others apart.
+    mixed = labelled.groupBy("a").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("a")
+    members = (labelled.join(mixed.hint("merge"), "a")
+               .join(checked.select("a", F.col("b").alias("id"), "width", "shape").hint("merge"),
+                     ["a", "id"], "left")
                .join(reps.select("id", "n", "sig").hint("merge"), "id"))
-    rest = scratch.keep(compare_tiles(bucket_tiles(members), percent), "rest")
-    more = scratch.keep(confirm(_with_both(rest, texts, "text"), size, percent), "more")
+    rest = scratch.keep(compare_tiles(leader_tiles(members), percent).distinct(), "rest")
+    more = scratch.keep(confirm(_with_both(rest, texts, "text"), size, percent).select(
+        "a", "b", "links"), "more")
     joined = more.where("links").join(found.toDF("a", "x"), "a", "left").join(
         found.toDF("b", "y"), "b", "left").select(
         F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     bridges = connected_components(joined).toDF("component", "root")
-    scratch.drop(buckets, texts, checked, rest, more)
+    scratch.drop(shared, stars, texts, checked, rest, more)
     final = classes.join(found, "id", "left").withColumn(
         "component", F.coalesce("component", "id")).join(bridges, "component", "left").select(
         "key", F.coalesce("root", "component").alias("root"))
