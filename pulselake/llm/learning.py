@@ -26,7 +26,8 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, withheld: Column,
                   scratch: Scratch, rows: int = SAMPLE_ROWS) -> DataFrame | None:
-    """``(text, label, calibrates)`` of the labelled sample, or None unless both labels occur.
+    """``(text, label, calibrates)`` of the labelled sample; None unless both labels occur among
+    the documents.
 
     Rows with a null doc_id or label don't teach; a doc_id labelled twice takes the larger
     label."""
@@ -43,7 +44,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, withheld: Colu
         F.broadcast(sample), "doc_id").select(
             "text", "label", (F.col("place") < CALIBRATION).alias("calibrates")).dropDuplicates(
                 ["text", "label"])  # copies would count as independent evidence
-    return scratch.keep(kept, "training")
+    training = scratch.keep(kept, "training")
+    return training if training.agg(F.count_distinct("label")).first()[0] == 2 else None
 
 
 def calibrated(scored: DataFrame, training: DataFrame, feature: str) -> DataFrame:
