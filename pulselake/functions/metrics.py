@@ -16,9 +16,15 @@ SLO_MS = 200
 
 def round_half_up(value: Column, digits: int) -> Column:
     """Round after dropping the noise past six decimals, so that ties do not depend
-    on the last bit of a sum or of an interpolation."""
+    on the last bit of a sum or of an interpolation. NaN and infinities stay."""
     scale = F.lit(float(10 ** digits))
-    return F.floor(F.round(value, 6) * scale + F.lit(0.5)) / scale
+    rounded = F.floor(F.round(value, 6) * scale + F.lit(0.5)) / scale
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(rounded)
+
+
+def error_percent(errors: Column, requests: Column) -> Column:
+    """Share of errors in percent, rounded once to two decimals."""
+    return F.round(F.lit(100.0) * errors / requests, 2)
 
 
 def is_server_error(status: Column | None = None) -> Column:
@@ -32,7 +38,7 @@ def error_count() -> Column:
 
 def error_rate() -> Column:
     """Share of server errors in percent, two decimals (aggregate)."""
-    return round_half_up(F.lit(100.0) * error_count() / F.count(F.lit(1)), 2)
+    return error_percent(error_count(), F.count(F.lit(1)))
 
 
 def health_status(p99: Column, rate: Column) -> Column:

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: most rows of a result, a limit of the interface. None lifts it.
 MAX_ROWS = 500
-# What a statement may start with, and functions that call arbitrary code.
-ALLOWED_STATEMENTS = ("SELECT", "WITH")
-_CODE_FUNCTIONS = re.compile(r"\b(try_reflect|reflect|java_method)\b`?\s*\(", re.IGNORECASE)
+# Plan leaves that read nothing: literals, ranges, and references to the statement's own CTEs.
+_OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
+# Expressions that call arbitrary code.
+_CODE = {"CallMethodViaReflection", "TryReflect", "ScalaUDF", "PythonUDF", "Invoke",
+         "ScalaUDAF", "HiveGenericUDF", "HiveSimpleUDF"}
 
 
 def _error(spark: SparkSession, message: str) -> DataFrame:
@@ -24,22 +27,49 @@ def _scala_list(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def foreign_relations(spark: SparkSession, sql: str) -> set[str]:
-    """Tables named in the statement, as Spark parses it, other than ``events`` and the
-    statement's own CTEs."""
-    pending = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    named, own = set(), {"events"}
+def is_query(spark: SparkSession, sql: str) -> bool:
+    """Whether the statement, as Spark parses it, only asks for rows."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    pending = [plan]
+    while pending:
+        node = pending.pop()
+        kind = node.getClass()
+        if ".logical." in kind.getName() and kind.getSimpleName().startswith("Insert"):
+            return False
+        if spark._jvm.Class.forName(
+                "org.apache.spark.sql.catalyst.plans.logical.Command").isInstance(node):
+            return False
+        if kind.getSimpleName() == "UnresolvedWith":
+            pending += [cte._2() for cte in _scala_list(node.cteRelations())]
+        pending += _scala_list(node.children())
+    return True
+
+
+def objections(df: DataFrame, view: str) -> list[str]:
+    """What the analysed plan of ``df`` reads besides ``view``, and the code it calls.
+
+    Names are resolved here, whatever they were written as, so CTEs that shadow a table,
+    ``IDENTIFIER`` clauses and file paths show as what they read.
+    """
+    pending, found = [df._jdf.queryExecution().analyzed()], []
     while pending:
         node = pending.pop()
         kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedRelation":
-            named.add(node.name().lower())
-        elif kind == "UnresolvedWith":
-            for cte in _scala_list(node.cteRelations()):
-                own.add(cte._1().lower())
-                pending.append(cte._2())
-        pending += _scala_list(node.children()) + _scala_list(node.subqueries())
-    return named - own
+        if kind == "View" and node.desc().identifier().table() == view:
+            continue
+        children = _scala_list(node.children())
+        if kind == "View":
+            found.append(f"Unknown table: {node.desc().identifier().table()}")
+        elif not children and kind not in _OWN_LEAVES:
+            found.append(f"Unknown table: {node.simpleString(40)}")
+        pending += children + _scala_list(node.subqueries())
+        expressions = _scala_list(node.expressions())
+        while expressions:
+            expression = expressions.pop()
+            if expression.getClass().getSimpleName() in _CODE:
+                found.append(f"Function not allowed: {expression.prettyName()}")
+            expressions += _scala_list(expression.children())
+    return found
 
 
 def register_time_bucket(spark: SparkSession, time_type: str) -> None:
@@ -56,28 +86,25 @@ def register_time_bucket(spark: SparkSession, time_type: str) -> None:
 
 def ad_hoc_sql(spark: SparkSession, sql: str, df: DataFrame,
                max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Result of a SELECT or WITH statement in which ``events`` stands for ``df``.
+    """Result of a query in which ``events`` stands for ``df``.
 
     At most ``max_rows`` rows come back, whatever the statement's own limit; None lifts
     the cap. A statement that is refused or cannot be analysed gives one ``error`` row.
-    The statement is placed inside a subquery, where the grammar admits only queries, and
-    may name no table but ``events``.
+    It must parse as a query, which is then placed inside a subquery, and its analysed plan
+    may read nothing but ``events``. Errors that only show when rows are computed are raised;
+    ``run_ad_hoc`` returns those as a row as well.
     """
-    sql = sql.strip().rstrip(";").strip()
-    words = sql.split()
-    first = words[0].upper() if words else ""
-    if first not in ALLOWED_STATEMENTS:
-        return _error(spark, f"Only SELECT queries are allowed, got: {first}")
-    if _CODE_FUNCTIONS.search(sql):
-        return _error(spark, "Functions that call Java code are not allowed")
+    sql = re.sub(r"[;\s]+$", "", sql)
     view = f"events_{uuid.uuid4().hex}"
     try:
-        foreign = foreign_relations(spark, sql)
-        if foreign:
-            return _error(spark, f"Unknown table: {', '.join(sorted(foreign))}")
+        if not is_query(spark, sql):
+            return _error(spark, "Only queries can be run, not commands or changes")
         register_time_bucket(spark, df.schema["timestamp"].dataType.simpleString())
         df.createOrReplaceTempView(view)
         result = spark.sql(f"WITH events AS (SELECT * FROM {view}) SELECT * FROM (\n{sql}\n)")
+        refused = objections(result, view)
+        if refused:
+            return _error(spark, refused[0])
         return result if max_rows is None else result.limit(max_rows)
     except PySparkException as error:
         return _error(spark, str(error))
@@ -85,6 +112,16 @@ def ad_hoc_sql(spark: SparkSession, sql: str, df: DataFrame,
         spark.catalog.dropTempView(view)
 
 
+def run_ad_hoc(spark: SparkSession, sql: str, df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``ad_hoc_sql``, executed: an error at run time gives an ``error`` row too. The rows, no
+    more than ``max_rows``, come to the driver."""
+    try:
+        result = ad_hoc_sql(spark, sql, df, max_rows)
+        return spark.createDataFrame(result.collect(), result.schema)
+    except PySparkException as error:
+        return _error(spark, str(error))
+
+
 def _iso(name: str, zoned: bool) -> Column:
     seconds = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(name, "SSSSSS")

@@ -13,7 +13,7 @@ from ..functions.metrics import (
     MIN_REQUESTS, ONSET_REQUESTS, OUTLIER_FACTOR, WARNING_ERROR_RATE, WARNING_P99, is_degraded,
     is_server_error, round_half_up, severity,
 )
-from ..functions.quantiles import quantiles_by
+from ..functions.quantiles import exact_quantiles
 from .health import for_customer, request_metrics
 
 METRICS = ["request_count", "p50_latency", "p99_latency", "error_rate"]
@@ -39,7 +39,7 @@ def baseline_outliers(health: DataFrame) -> DataFrame:
     stacked = eligible.select(F.inline(F.array(
         F.struct(F.lit("error_rate").alias("metric"), F.col("error_rate").alias("value")),
         F.struct(F.lit("p99_latency").alias("metric"), F.col("p99_latency").alias("value")))))
-    medians = (quantiles_by(stacked, ["metric"], "value", {"median": 0.5})
+    medians = (exact_quantiles(stacked, ["metric"], "value", {"median": 0.5})
                .agg(F.map_from_entries(F.collect_list(F.struct("metric", "median"))))
                .scalar())
     rate, p99 = F.col("error_rate"), F.col("p99_latency")
@@ -57,18 +57,16 @@ def with_severity(health: DataFrame) -> DataFrame:
         F.col("p99_latency"), F.col("error_rate"), F.col("request_count")))
 
 
-def by_endpoint(df: DataFrame, customer: str | None = None, *scope: str,
-                spread: bool | None = None) -> DataFrame:
+def by_endpoint(df: DataFrame, customer: str | None = None, *scope: str) -> DataFrame:
     keys = [*scope, "customer_id", "endpoint"]
-    return request_metrics(for_customer(df, customer), keys, spread).select(*keys, *METRICS)
+    return request_metrics(for_customer(df, customer), keys).select(*keys, *METRICS)
 
 
-def by_deploy(df: DataFrame, customer: str | None = None, *scope: str,
-              spread: bool | None = None) -> DataFrame:
+def by_deploy(df: DataFrame, customer: str | None = None, *scope: str) -> DataFrame:
     """Metrics per deploy version and their change from the version seen before it."""
     keys = [*scope, "customer_id", "deploy_version"]
     order = Window.partitionBy(*scope, "customer_id").orderBy("first_seen", "deploy_version")
-    return (request_metrics(for_customer(df, customer), keys, spread)
+    return (request_metrics(for_customer(df, customer), keys)
             .select(*keys, "first_seen", *METRICS)
             .withColumn("error_rate_change", round_half_up(
                 F.col("error_rate") - F.lag("error_rate").over(order), 2))
@@ -76,14 +74,13 @@ def by_deploy(df: DataFrame, customer: str | None = None, *scope: str,
                 F.col("p99_latency") - F.lag("p99_latency").over(order), 1)))
 
 
-def timeline(df: DataFrame, bucket: str = "1 minute", customer: str | None = None, *scope: str,
-             spread: bool | None = False) -> DataFrame:
-    """Metrics per bucket of time. A group is one bucket of one customer, which its request
-    rate bounds, so the built-in percentile serves at any table size."""
+def timeline(df: DataFrame, bucket: str = "1 minute", customer: str | None = None,
+             *scope: str) -> DataFrame:
+    """Metrics per bucket of time, of any width."""
     keys = [*scope, "customer_id", "bucket_start"]
     rows = for_customer(df, customer).withColumn(
         "bucket_start", F.window("timestamp", bucket)["start"])
-    return request_metrics(rows, keys, spread).select(*keys, *METRICS)
+    return request_metrics(rows, keys).select(*keys, *METRICS)
 
 
 def onset(buckets: DataFrame, *scope: str) -> DataFrame:

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import error_count, error_rate, round_half_up
-from ..functions.quantiles import band_counts, exact_quantiles, is_small
+from ..functions.metrics import error_count, error_percent, error_rate, round_half_up
+from ..functions.quantiles import band_counts, exact_quantiles
 from ..schema import EVENT_COLUMNS
 from ..session import materialize
 
@@ -50,53 +50,38 @@ def for_customer(df: DataFrame, customer: str | None) -> DataFrame:
     return df if customer is None else df.where(F.col("customer_id") == customer)
 
 
-def request_metrics(df: DataFrame, keys: list[str], spread: bool | None = None) -> DataFrame:
+def request_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: request count, p50/p99 latency (1 dp), error rate (%, 2 dp), latest
-    deploy by text order, first and last time.
+    deploy by text order, first and last time. Null keys are groups of their own.
 
-    A small input takes one aggregation. Otherwise a first pass counts everything per
-    deploy version and latency band, and ``exact_quantiles`` goes on from there; grouping
-    by the version keeps the string maximum out of the pass over the rows. ``spread``
-    forces the choice.
+    One pass counts everything per deploy version and latency band, and
+    ``exact_quantiles`` goes on from there; grouping by the version keeps the string
+    maximum out of the pass over the rows.
     """
-    if spread is None:
-        spread = not is_small(df)
-    if not spread:
-        result = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("request_count"),
-            error_rate().alias("error_rate"),
-            F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.99))).alias("quantiles"),
-            F.max("deploy_version").alias("latest_deploy"),
-            F.min("timestamp").alias("first_seen"),
-            F.max("timestamp").alias("last_seen"))
-        p50, p99 = F.col("quantiles")[0], F.col("quantiles")[1]
-    else:
-        bands = materialize(band_counts(
-            df, list(dict.fromkeys([*keys, "deploy_version"])), "latency_ms",
-            F.count(F.lit(1)).alias("_rows"), error_count().alias("_errors"),
-            F.min("timestamp").alias("_earliest"), F.max("timestamp").alias("_latest")), "bands")
-        counts = bands.groupBy(*keys).agg(
-            F.sum("_rows").alias("request_count"),
-            round_half_up(F.lit(100.0) * F.sum("_errors") / F.sum("_rows"), 2)
-            .alias("error_rate"),
-            F.max("deploy_version").alias("latest_deploy"),
-            F.min("_earliest").alias("first_seen"), F.max("_latest").alias("last_seen"))
-        latency = exact_quantiles(df, keys, "latency_ms", {"p50": 0.5, "p99": 0.99}, bands)
-        result = counts.join(latency, keys, "left")
-        p50, p99 = F.col("p50"), F.col("p99")
+    bands = materialize(band_counts(
+        df, list(dict.fromkeys([*keys, "deploy_version"])), "latency_ms",
+        F.count(F.lit(1)).alias("_rows"), error_count().alias("_errors"),
+        F.min("timestamp").alias("_earliest"), F.max("timestamp").alias("_latest")), "bands")
+    counts = bands.groupBy(F.struct(*keys).alias("_key")).agg(
+        F.sum("_rows").alias("request_count"),
+        error_percent(F.sum("_errors"), F.sum("_rows")).alias("error_rate"),
+        F.max("deploy_version").alias("latest_deploy"),
+        F.min("_earliest").alias("first_seen"), F.max("_latest").alias("last_seen"))
+    latency = exact_quantiles(df, keys, "latency_ms", {"p50": 0.5, "p99": 0.99}, bands)
+    result = counts.join(latency.select(F.struct(*keys).alias("_key"), "p50", "p99"),
+                         "_key", "left")
     return result.select(
-        *keys, "request_count", round_half_up(p50, 1).alias("p50_latency"),
-        round_half_up(p99, 1).alias("p99_latency"), "error_rate",
+        "_key.*", "request_count", round_half_up(F.col("p50"), 1).alias("p50_latency"),
+        round_half_up(F.col("p99"), 1).alias("p99_latency"), "error_rate",
         "latest_deploy", "first_seen", "last_seen")
 
 
 def customer_health(df: DataFrame, minutes: int | None = 5,
-                    as_of: Column | datetime | None = None,
-                    spread: bool | None = None) -> DataFrame:
+                    as_of: Column | datetime | None = None) -> DataFrame:
     """Health per customer over the look-back, worst p99 first. ``latest_deploy`` is the
     greatest version text, so v1.2.9 comes after v1.2.10."""
     rows = df if minutes is None else recent_window(df, minutes, as_of)
-    return request_metrics(rows, ["customer_id", "customer_name"], spread).drop(
+    return request_metrics(rows, ["customer_id", "customer_name"]).drop(
         "first_seen").orderBy(F.desc("p99_latency"), "customer_id", "customer_name")
 
 
@@ -118,13 +103,15 @@ def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:
             .orderBy(F.desc("timestamp"), "trace_id").limit(limit))
 
 
-def deploy_history(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Impact of each deploy version over the whole table, newest deploy first."""
-    return (df.groupBy("deploy_version").agg(
+def deploy_history(df: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Impact of each deploy version over the whole table, newest deploy first; None for
+    all versions."""
+    rows = (df.groupBy("deploy_version").agg(
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
         F.count(F.lit(1)).alias("event_count"),
         F.countDistinct("customer_id").alias("customers_affected"),
         round_half_up(F.avg("latency_ms"), 1).alias("avg_latency"),
         error_rate().alias("error_rate"))
-        .orderBy(F.desc("first_seen"), "deploy_version").limit(limit))
+        .orderBy(F.desc("first_seen"), "deploy_version"))
+    return rows if limit is None else rows.limit(limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import round_half_up
 from ..operators import (
-    adhoc, detector, drilldown, exposure, findings, health, history, views,
+    adhoc, detector, drilldown, findings, health, history, views,
 )
 from ..session import materialize, scratch_path
 from ..sources import derived, ingest, store
@@ -57,6 +57,12 @@ def _ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("invalid", ", ").alias("invalid"), "reason")
 
 
+def _ingest_forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sparse = derived.sparse_lines(spark, sf_dir)
+    handed_on = ingest.validate(ingest.forward_defaults(ingest.decode(sparse)))
+    return _plain_time(ingest.accepted(handed_on))
+
+
 def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ingest.rejected(_validated(spark, sf_dir)).groupBy("reason")
             .agg(F.count(F.lit(1)).alias("lines")))
@@ -144,7 +150,7 @@ def _message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feed(spark: SparkSession, sf_dir: str, latest: int | None = None) -> DataFrame:
     events = telemetry(spark, sf_dir)
     return views.feed(events, _alerts(spark, sf_dir), _stored_findings(spark, sf_dir),
-                      health.deploy_history(events), latest)
+                      health.deploy_history(events, None), latest)
 
 
 def _investigation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,14 +166,16 @@ def _catalog() -> dict[str, Query]:
         "ingest_validate": _ingest_validate,
         "ingest_rejects": _ingest_rejects,
         "ingest_normalize_ts": _ingest_normalize_ts,
+        "ingest_forwarded": _ingest_forwarded,
         "ingest_counters": lambda s, d: ingest.ingest_counters(_validated(s, d)),
         "sink_roundtrip": _sink_roundtrip,
         # pre-built and ad-hoc queries
         "customer_health": _health,
         "customer_health_15m": lambda s, d: health.customer_health(telemetry(s, d), minutes=15),
         "customer_health_all": lambda s, d: health.customer_health(telemetry(s, d), minutes=None),
+        # Two names from when there were two plans; there is one now.
         "customer_health_spread": lambda s, d: health.customer_health(
-            telemetry(s, d), minutes=None, spread=True),
+            telemetry(s, d), minutes=None),
         "recent_events": lambda s, d: health.recent_events(telemetry(s, d)),
         "deploy_history": lambda s, d: health.deploy_history(telemetry(s, d)),
         "sql_guarded_select": _adhoc(SQL_SELECT),
@@ -182,7 +190,7 @@ def _catalog() -> dict[str, Query]:
         "drill_endpoint": lambda s, d: drilldown.by_endpoint(telemetry(s, d)),
         "drill_deploy": lambda s, d: drilldown.by_deploy(telemetry(s, d)),
         "drill_timeline": lambda s, d: drilldown.timeline(telemetry(s, d)),
-        "drill_timeline_spread": lambda s, d: drilldown.timeline(telemetry(s, d), spread=True),
+        "drill_timeline_spread": lambda s, d: drilldown.timeline(telemetry(s, d)),
         "degradation_onset": lambda s, d: drilldown.onset(drilldown.timeline(telemetry(s, d))),
         "drill_errors": lambda s, d: drilldown.error_messages(telemetry(s, d)),
         "severity_classify": lambda s, d: drilldown.with_severity(_health(s, d)),
@@ -222,7 +230,6 @@ def _catalog() -> dict[str, Query]:
         "feed_tail": lambda s, d: views.feed_tail(_feed(s, d, views.FEED_LIMIT)),
         "status_summary": lambda s, d: views.status_summary(
             telemetry(s, d), _stored_findings(s, d)),
-        "exposure_curve": lambda s, d: exposure.exposure_curve(telemetry(s, d)),
     }
 
 

@@ -49,7 +49,7 @@ def rnd(expr: str, digits: int) -> str:
     return f"floor(round({expr}, 6) * {scale} + 0.5) / {scale}"
 
 
-ERROR_RATE = rnd("100.0 * count(*) FILTER (status_code >= 500) / count(*)", 2)
+ERROR_RATE = "round(100.0::DOUBLE * count(*) FILTER (status_code >= 500) / count(*), 2)"
 P50 = rnd("quantile_cont(latency_ms, 0.5)", 1)
 P99 = rnd("quantile_cont(latency_ms, 0.99)", 1)
 METRICS = (f"count(*) AS request_count, {P50} AS p50_latency, {P99} AS p99_latency, "
@@ -296,18 +296,6 @@ feed AS (
     SELECT '{"event":"deploy_seen","deploy_version":"' || deploy_version || '"}' AS d, deploy_version,
       min(timestamp) AS first_seen FROM telemetry GROUP BY deploy_version))"""
 
-EXPOSURE = f"""
-calls AS (
-  SELECT *, least(1.0, row_number() OVER (PARTITION BY customer_id ORDER BY timestamp, trace_id) / 150.0) ** 2
-    AS pressure
-  FROM telemetry WHERE endpoint = '/api/v1/orders' AND deploy_version = 'v1.2.4')
-SELECT customer_id, CAST(floor(round(pressure * 10, 9)) AS BIGINT) AS pressure_decile, count(*) AS calls,
-  {rnd('count(*) FILTER (status_code >= 500) / count(*)', 4)} AS observed_error_rate,
-  {rnd('avg(0.02 + 0.55 * pressure)', 4)} AS expected_error_rate,
-  {rnd('avg(latency_ms)', 1)} AS avg_latency,
-  {rnd('avg(1 + 50 * pressure)', 4)} AS expected_latency_factor
-FROM calls GROUP BY ALL"""
-
 MESSAGES = """
 stored AS (
   SELECT *, CASE role
@@ -394,6 +382,11 @@ FROM telemetry GROUP BY endpoint""")
         "ingest_normalize_ts": telemetry("""
 SELECT trace_id, CASE WHEN d = 7 THEN at_time - INTERVAL '2 hours' ELSE at_time END AS timestamp
 FROM validated WHERE reason IS NULL""", WIRE),
+        "ingest_forwarded": telemetry("""
+SELECT * EXCLUDE (n) REPLACE (CASE WHEN n % 3 = 0 THEN '' ELSE customer_name END AS customer_name,
+  CASE WHEN n % 4 = 0 THEN 0 ELSE status_code END AS status_code,
+  CASE WHEN n % 5 = 0 THEN 0 ELSE latency_ms END AS latency_ms)
+FROM (SELECT *, CAST(substr(trace_id, 7) AS BIGINT) AS n FROM telemetry) WHERE n % 7 <> 0"""),
         "ingest_counters": telemetry("""
 SELECT count(*) AS events_received, count(*) FILTER (reason IS NULL) AS events_accepted,
   count(*) FILTER (reason IS NOT NULL) AS events_rejected FROM validated""", WIRE),
@@ -503,5 +496,4 @@ SELECT * EXCLUDE (summary) FROM feed ORDER BY ts DESC, event, feed_key LIMIT 200
         "status_summary": telemetry("""
 SELECT (SELECT count(*) FROM telemetry) AS total_events_ingested,
   (SELECT count(*) FROM findings) AS findings_count""", *SWEEP, stored_findings()),
-        "exposure_curve": "WITH " + TELEMETRY + "," + EXPOSURE,
     }

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def build_session(app: str = "pulselake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -26,9 +29,13 @@ def build_session(app: str = "pulselake", master: str | None = None, **conf: str
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: what the cluster names in
-    ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder will do only if all
+    tasks run on this machine; on a cluster this raises, since executors could not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pulselake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,15 +52,37 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
     This cuts the lineage, survives the loss of executors, and gives the planner the true
     size: joins with the result are broadcast only when the written files are below
-    ``spark.sql.autoBroadcastJoinThreshold``, and shuffled otherwise.
+    ``spark.sql.autoBroadcastJoinThreshold``, and shuffled otherwise. Inside
+    ``scratch_scope`` the table is deleted when the scope ends.
     """
     path = scratch_path(df.sparkSession, name)
+    for scope in _scopes:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is materialised inside it; results must be written or collected inside."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has materialised."""
-    root = f"{scratch_root(spark)}/pulselake-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/pulselake-{spark.sparkContext.applicationId}")

@@ -119,6 +119,20 @@ def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE j END AS value""")
 
 
+def sparse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry as JSON lines that may lack fields, by event number: no name (modulo 3),
+    no status (modulo 4), no latency (modulo 5); NaN for the latency (modulo 7)."""
+    return telemetry(spark, sf_dir).selectExpr(
+        "*", "bigint(substr(trace_id, 7)) AS n",
+        "date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS at").selectExpr("n", """
+        to_json(named_struct('timestamp', at, 'trace_id', trace_id, 'customer_id', customer_id,
+        'customer_name', if(n % 3 = 0, NULL, customer_name), 'endpoint', endpoint,
+        'method', method, 'status_code', if(n % 4 = 0, NULL, status_code),
+        'latency_ms', if(n % 5 = 0 OR n % 7 = 0, NULL, latency_ms),
+        'deploy_version', deploy_version, 'region', region, 'error_message', error_message)) AS j""").selectExpr(
+        "if(n % 7 = 0, concat(left(j, length(j) - 1), ',\"latency_ms\":NaN}'), j) AS value")
+
+
 def snapshot_documents(snapshots: DataFrame) -> DataFrame:
     """Snapshots as JSON documents; those of a running second version are cut short."""
     return (snapshots.select("version", "status", F.to_json(F.struct("*")).alias("j"))

@@ -8,7 +8,12 @@ from pyspark.sql import types as T
 
 from ..schema import EVENT_COLUMNS, NON_EMPTY_COLUMNS, REQUIRED_COLUMNS, WIRE_SCHEMA
 
+# Fixed value: how a line that is no valid record is refused.
 INVALID_JSON = "invalid JSON"
+# Standard JSON only: no NaN or Infinity, no single quotes, no bare names.
+_STRICT = {"columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "false",
+           "allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
+           "allowNumericLeadingZeros": "false"}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +41,7 @@ def decode(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     variants = ", ".join(f"{f.name} VARIANT" for f in WIRE_SCHEMA.fields)
     parsed = lines.select(F.col(column).alias("line"), F.inline(F.array(F.from_json(
-        column, f"{variants}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}))))
+        column, f"{variants}, _corrupt STRING", _STRICT))))
     ok = F.col("_corrupt").isNull() & F.ltrim("line").startswith("{")
     for field in WIRE_SCHEMA.fields:
         ok = ok & _has_type(F.schema_of_variant(field.name), field.dataType)
@@ -68,14 +73,21 @@ def missing_fields(columns: list[str] = NON_EMPTY_COLUMNS) -> Column:
     return _names(columns, lambda c: F.col(c).isNull() | (F.col(c) == ""))
 
 
+def _unusable(column: str) -> Column:
+    if column == "timestamp":
+        return F.col("event_time").isNull()
+    absent = F.col(column).isNull()
+    if column == "latency_ms":
+        return absent | F.isnan(column) | (F.abs(column) == float("inf"))
+    return absent
+
+
 def validate(records: DataFrame) -> DataFrame:
     """Adds ``missing``, the empty required texts; ``invalid``, the required columns that
-    are null or, for the timestamp, unreadable; and ``reason``, null when accepted."""
+    are null, unreadable (timestamp) or no finite number (latency); and ``reason``, null when accepted."""
     records = (records.withColumn("event_time", to_utc(F.col("timestamp")))
                .withColumn("missing", missing_fields())
-               .withColumn("invalid", _names(
-                   REQUIRED_COLUMNS,
-                   lambda c: F.col("event_time" if c == "timestamp" else c).isNull())))
+               .withColumn("invalid", _names(REQUIRED_COLUMNS, _unusable)))
     reason = F.when(F.size("missing") > 0, F.concat(
         F.lit("missing required fields: "), F.array_join("missing", ", "))).when(
         F.size("invalid") > 0, F.concat(
