@@ -144,6 +144,12 @@ def apply_cooldown(anomalous: DataFrame) -> DataFrame:
                         F.lit(REASON).alias("reason"), "error_rate", "avg_latency")
 
 
+def alert_session() -> Column:
+    """Id of the session that investigates an alert."""
+    return F.sha2(F.concat_ws("|", "customer_id", F.col("tick").cast("string")), 256)
+
+
+# The words of the line.
 def alert_message(alert: DataFrame) -> DataFrame:
     """The alert as one line of text; a metric that is not known is left out."""
     at = F.date_format("tick", "yyyy-MM-dd'T'HH:mm:ss")

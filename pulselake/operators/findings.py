@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.metrics import WARNING_P99
 from ..session import materialize
 from . import drilldown, history
-from .health import customer_health, for_customer, latest_time, request_metrics
+from .detector import alert_session
+from .health import customer_health, for_customer, latest_time, recent_window, request_metrics
 
 # Evidence queries, each valid for ``adhoc.ad_hoc_sql``; %s is the customer id.
 EVIDENCE = [
@@ -44,13 +45,17 @@ def _pick(rows: DataFrame, keys: list[str], fields: list, order: list[str]) -> D
 
 def _report(reported: DataFrame, rows: DataFrame, *scope: str) -> DataFrame:
     """Reported customers with their severity and what the drill-down into ``rows`` says.
-    Where one id has several names the name with the worst p99 stands for it."""
+    Where one id has several names the name with the worst p99 stands for it.
+
+    The rows of the reported customers are written out once, narrowed to what the
+    drill-downs need: each of them reads those, not the table."""
     keys = [*scope, "customer_id"]
     found = materialize(_pick(
         drilldown.with_severity(reported), keys,
         ["customer_name", "severity", "request_count", "p99_latency", "error_rate"],
         ["p99_latency", "customer_name"]))
-    drill = rows.join(found.select(*keys), keys, "left_semi")
+    drill = materialize(rows.select(*scope, *DRILL_COLUMNS).join(
+        found.select(*keys), keys, "left_semi"), "drill")
     worst_endpoint = _pick(
         drilldown.by_endpoint(drill, None, *scope), keys,
         ["endpoint", F.col("p99_latency").alias("endpoint_p99"),
@@ -67,11 +72,12 @@ def _report(reported: DataFrame, rows: DataFrame, *scope: str) -> DataFrame:
 
 
 def evidence(df: DataFrame, as_of: Column | datetime | None = None, minutes: int = 5,
-             customer: str | None = None) -> DataFrame:
+             customer: str | None = None, drill_minutes: int | None = None) -> DataFrame:
     """One row per customer to report, with everything the drill-down found.
 
     A sweep reports clear outliers against their peers; a run for one customer reports
-    it when it is degraded over enough requests.
+    it when it is degraded over enough requests. The drill-down looks at the whole history,
+    or at the last ``drill_minutes``.
     """
     rows = for_customer(df, customer)
     health = materialize(customer_health(rows, minutes, as_of))
@@ -82,6 +88,8 @@ def evidence(df: DataFrame, as_of: Column | datetime | None = None, minutes: int
     end = latest_time(rows) if as_of is None else F.lit(as_of)
     if as_of is not None:
         rows = rows.where(F.col("timestamp") <= end)
+    if drill_minutes is not None:
+        rows = recent_window(rows, drill_minutes, as_of)
     return _report(reported, rows).withColumn("created_at", end)
 
 
@@ -89,33 +97,47 @@ def alert_evidence(alerts: DataFrame, df: DataFrame, minutes: int = 5,
                    drill_minutes: int = 15) -> DataFrame:
     """``evidence`` for many alerts at once, one session per alert.
 
-    Alerts meet the rows before them through (customer, minute), an equality join in
+    Alerts meet the rows before them through (day, customer, minute), an equality join in
     which a row meets only the alerts of its customer in the next quarter of an hour; the
-    cooldown lets those be three.
+    cooldown lets those be three. The day prunes the partitions of the table, the earliest
+    and latest tick bound the timestamps that are read.
     """
     span = F.expr(f"INTERVAL '{int(drill_minutes)}' MINUTE")
+    time_type = df.schema["timestamp"].dataType
     minute = F.window("timestamp", "1 minute")["start"]
     wanted = materialize(
-        alerts.select("customer_id", "tick",
-                      F.sha2(F.concat_ws("|", "customer_id", F.col("tick").cast("string")), 256)
-                      .alias("session_id"),
+        alerts.select("customer_id", "tick", alert_session().alias("session_id"),
                       F.explode(F.sequence(F.date_trunc("minute", F.col("tick") - span),
                                            F.date_trunc("minute", "tick"),
                                            F.expr("INTERVAL '1' MINUTE"))).alias("minute"))
-        .withColumn("minute", F.col("minute").cast(df.schema["timestamp"].dataType)))
-    # Written out once: five drill-downs read these rows.
+        .withColumn("minute", F.col("minute").cast(time_type))
+        .withColumn("_day", F.to_date("minute")))
+    first, last, first_day, last_day = wanted.agg(
+        F.min(F.col("tick").cast(time_type) - span), F.max(F.col("tick").cast(time_type)),
+        F.min("_day"), F.max("_day")).first()
+    near = df
+    if first is not None:  # plain bounds reach the scan as pushed and partition filters
+        near = near.where((F.col("timestamp") > F.lit(first)) & (F.col("timestamp") <= F.lit(last)))
+    if "timestamp_day" in df.columns:
+        if first is not None:
+            near = near.where(F.col("timestamp_day").between(F.lit(first_day), F.lit(last_day)))
+        near = near.withColumn("_day", F.col("timestamp_day"))
+    else:
+        near = near.withColumn("_day", F.to_date("timestamp"))
     rows = materialize(
-        df.select(*DRILL_COLUMNS, minute.alias("minute")).join(wanted, ["customer_id", "minute"])
+        near.select(*DRILL_COLUMNS, "_day", minute.alias("minute"))
+        .join(wanted, ["_day", "customer_id", "minute"])
         .where((F.col("timestamp") > F.col("tick") - span)
-               & (F.col("timestamp") <= F.col("tick"))).drop("minute"))
+               & (F.col("timestamp") <= F.col("tick"))).drop("minute", "_day"), "near")
     recent = rows.where(F.col("timestamp") > F.col("tick")
                         - F.expr(f"INTERVAL '{int(minutes)}' MINUTE"))
     health = request_metrics(recent, ["session_id", "customer_id", "customer_name"])
     reported = drilldown.min_sample_gate(drilldown.survey(health))
-    ticks = rows.select("session_id", "customer_id", F.col("tick").alias("created_at")).distinct()
+    ticks = wanted.select("session_id", "customer_id", F.col("tick").alias("created_at")).distinct()
     return _report(reported, rows, "session_id").join(ticks, ["session_id", "customer_id"])
 
 
+# The words of a title; an error rate as the documented pattern writes it.
 def findings_from(found: DataFrame, session_id: str | Column) -> DataFrame:
     """Findings out of ``evidence`` rows, at most one per customer and session."""
     session = F.lit(session_id) if isinstance(session_id, str) else session_id

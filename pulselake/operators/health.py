@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_count, error_percent, error_rate, round_half_up
@@ -13,11 +13,25 @@ from ..schema import EVENT_COLUMNS
 from ..session import materialize
 
 
+def partition_days(df: DataFrame) -> list | None:
+    """The days of a day-partitioned table, newest first, from its list of partitions; None
+    for any other table. No file is opened; there is one entry per day."""
+    if "timestamp_day" not in df.columns:
+        return None
+    days = df.select("timestamp_day").distinct()
+    key = "spark.sql.optimizer.metadataOnly"
+    plain = df.sparkSession.conf.get(key)
+    df.sparkSession.conf.set(key, "true")
+    try:
+        return sorted((r[0] for r in days.collect() if r[0] is not None), reverse=True)
+    finally:
+        df.sparkSession.conf.set(key, plain)
+
+
 def newest_rows(df: DataFrame) -> DataFrame:
     """Rows that hold the newest timestamp: on a day-partitioned table the last day."""
-    if "timestamp_day" not in df.columns:
-        return df
-    return df.where(F.col("timestamp_day") == df.select(F.max("timestamp_day")).scalar())
+    days = partition_days(df)
+    return df.where(F.col("timestamp_day") == F.lit(days[0])) if days else df
 
 
 def latest_time(df: DataFrame) -> Column:
@@ -86,15 +100,19 @@ def customer_health(df: DataFrame, minutes: int | None = 5,
 
 
 def newest_days(df: DataFrame, limit: int) -> DataFrame:
-    """On a day-partitioned table, the newest days that together hold ``limit`` rows; the
-    rows per day come from the file footers. Other tables are returned whole."""
-    if "timestamp_day" not in df.columns:
+    """On a day-partitioned table, the newest days that together hold ``limit`` rows; other
+    tables are returned whole. Days are counted one after the other, twice as many each
+    time, until there are enough rows, so older files are not opened."""
+    days = partition_days(df)
+    if not days:
         return df
-    newer = Window.orderBy(F.desc("timestamp_day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = (df.groupBy("timestamp_day").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-            .where(F.col("newer") < limit))
-    return df.where(F.col("timestamp_day") >= days.select(F.min("timestamp_day")).scalar())
+    taken = 1
+    while taken < len(days):
+        newest = df.where(F.col("timestamp_day") >= F.lit(days[taken - 1]))
+        if len(newest.select("timestamp_day").limit(limit).collect()) >= limit:
+            return newest
+        taken *= 2
+    return df
 
 
 def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import MESSAGE_SCHEMA, SNAPSHOT_SCHEMA
+from ..schema import MESSAGE_SCHEMA, OBJECT_SCHEMA, SNAPSHOT_SCHEMA
+from ..session import materialize
 
 # How much of a stored text the timeline shows.
 TEXT_CHARS, RESPONSE_CHARS, RAW_CHARS = 500, 400, 300
@@ -89,17 +90,14 @@ def versions(snapshots: DataFrame, session_id: str | None = None) -> DataFrame:
 def replay(snapshots: DataFrame, objects: DataFrame, session_id: str | None = None) -> DataFrame:
     """Objects of a session in order of first appearance, each hash once.
 
-    ``(version, pos)`` travels as one number so that the minimum is combined map-side in
-    a hash aggregation. An object that many sessions share is a hot key of the join;
-    adaptive execution splits it on the side of the references.
+    The minimum of (version, pos) is combined map-side. An object that many sessions share
+    is a hot key of the join; adaptive execution splits it on the side of the references.
     """
     referenced = in_session(snapshots, session_id).select(
         "session_id", "version", F.posexplode("descriptors").alias("pos", "sha"))
-    first = (referenced
-             .withColumn("seen", F.shiftleft("version", 24).bitwiseOR(F.col("pos")))
-             .groupBy("session_id", "sha").agg(F.min("seen").alias("seen"))
-             .select("session_id", "sha", F.shiftright("seen", 24).alias("version"),
-                     F.col("seen").bitwiseAND(F.lit((1 << 24) - 1)).alias("pos")))
+    first = (referenced.groupBy("session_id", "sha")
+             .agg(F.min(F.struct("version", F.col("pos").cast("bigint").alias("pos"))).alias("seen"))
+             .select("session_id", "sha", "seen.version", "seen.pos"))
     return get_objects(first, objects).orderBy("session_id", "version", "pos")
 
 
@@ -121,8 +119,9 @@ def snapshot_timeline(snapshots: DataFrame) -> DataFrame:
 
 
 def flatten_messages(objects: DataFrame) -> DataFrame:
-    """Role, shown text, tool names and shown responses of stored messages, one row per
-    response. Other objects keep the start of their JSON in ``raw``."""
+    """Role, text, tool names and responses of stored messages, one row per response, whole
+    and as the timeline shows them (``shown_*``). A response without a text ``result`` is the
+    whole response. Other objects keep their JSON in ``raw``, and its start in ``shown_raw``."""
     rows = objects.withColumn("_o", F.from_json("content", MESSAGE_SCHEMA))
     message = F.col("_o.message")
     is_message = F.col("_o.type") == "message"
@@ -131,14 +130,75 @@ def flatten_messages(objects: DataFrame) -> DataFrame:
     calls = F.coalesce(
         F.transform(message["tool_calls"], lambda c: F.coalesce(c["function"]["name"], c["name"])),
         F.transform(message["function_calls"], lambda c: c["name"]))
+    # A text result is shown as it is; any other response is shown whole.
+    result = F.try_variant_get(F.try_parse_json(F.col("_r.response")), "$.result", "variant")
+    is_text = F.coalesce(F.schema_of_variant(result) == "STRING", F.lit(False))
     return rows.select(
         "sha", F.col("_o.type").alias("type"),
         F.when(is_message, message["role"]).alias("role"),
-        F.when(is_message, F.substring(text, 1, TEXT_CHARS)).alias("text"),
+        F.when(is_message, text).alias("text"),
         F.when(is_message, F.array_join(calls, ", ")).alias("tools"),
-        F.when(~is_message, F.substring("content", 1, RAW_CHARS)).alias("raw"),
+        F.when(~is_message, F.col("content")).alias("raw"),
         F.posexplode_outer(F.when(is_message, message["responses"])).alias("response_no", "_r"),
     ).select(
         "sha", "type", "role", "text", "tools", "raw", "response_no",
         F.col("_r.name").alias("response_tool"),
-        F.substring("_r.response.result", 1, RESPONSE_CHARS).alias("response"))
+        F.when(is_text, F.get_json_object("_r.response", "$.result"))
+        .otherwise(F.col("_r.response")).alias("response")
+    ).select(
+        "*", F.substring("text", 1, TEXT_CHARS).alias("shown_text"),
+        F.substring("raw", 1, RAW_CHARS).alias("shown_raw"),
+        F.substring("response", 1, RESPONSE_CHARS).alias("shown_response"))
+
+
+def store_objects(new: DataFrame, path: str) -> None:
+    """Append the objects of ``new`` that the table at ``path`` does not hold yet."""
+    spark = new.sparkSession
+    stored = spark.read.schema(OBJECT_SCHEMA).parquet(path) if _exists(spark, path) else None
+    put_objects(new, stored).write.mode("append").parquet(path)
+
+
+def store_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Append snapshots; (session, version) pairs that the table holds are left out, so a
+    retried step is stored once."""
+    spark = snapshots.sparkSession
+    if _exists(spark, path):
+        stored = stored_snapshots(spark, path).select("session_id", "version")
+        snapshots = snapshots.join(stored, ["session_id", "version"], "left_anti")
+    snapshots.write.mode("append").parquet(path)
+
+
+def stored_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
+
+
+def stored_objects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(OBJECT_SCHEMA).parquet(path)
+
+
+def continue_sessions(steps: DataFrame, path: str) -> DataFrame:
+    """``steps`` with their versions counted on from the latest stored one of their session,
+    each run a cycle of its own; unchanged where nothing is stored."""
+    spark = steps.sparkSession
+    if not _exists(spark, path):
+        return steps
+    stored = stored_snapshots(spark, path)
+    latest = latest_versions(stored).withColumnRenamed("latest_version", "_latest")
+    shift = F.coalesce("_latest", F.lit(0))
+    return (steps.join(latest, "session_id", "left")
+            .withColumn("cycle", F.col("cycle") + shift.cast("int"))
+            .withColumn("version", F.col("version") + shift)
+            .drop("_latest").select(*steps.columns))
+
+
+def store_run(steps: DataFrame, path: str) -> None:
+    """Store one run of investigations, ``steps`` as for ``save_snapshots``: its objects below
+    ``path``/objects, its snapshots below ``path``/snapshots, versions following on."""
+    steps = materialize(continue_sessions(steps, f"{path}/snapshots"), "steps")
+    store_objects(steps, f"{path}/objects")
+    store_snapshots(save_snapshots(steps), f"{path}/snapshots")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name)

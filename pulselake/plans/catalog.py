@@ -143,14 +143,28 @@ def _snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_snapshot(history.versions(history.decode_snapshots(documents)))
 
 
+def _history_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored runs of one investigation, the second of which repeats a step."""
+    path = scratch_path(spark, "history")
+    found = materialize(findings.evidence(telemetry(spark, sf_dir)))
+    for _ in range(2):
+        history.store_run(findings.investigation_history(found, "sweep-1"), path)
+    snapshots = history.stored_snapshots(spark, f"{path}/snapshots")
+    held = history.stored_objects(spark, f"{path}/objects").agg(F.count(F.lit(1))).scalar()
+    return _flat_snapshot(snapshots).withColumn("objects_held", held)
+
+
 def _message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.flatten_messages(history.content_hash(derived.tool_messages(spark, sf_dir)))
 
 
 def _feed(spark: SparkSession, sf_dir: str, latest: int | None = None) -> DataFrame:
     events = telemetry(spark, sf_dir)
-    return views.feed(events, _alerts(spark, sf_dir), _stored_findings(spark, sf_dir),
-                      health.deploy_history(events, None), latest)
+    found = materialize(findings.evidence(events))
+    snapshots = history.save_snapshots(findings.investigation_history(found, "sweep-1"))
+    return views.feed(events, _alerts(spark, sf_dir), findings.findings_from(found, "sweep-1"),
+                      health.deploy_history(events, None),
+                      snapshots.where(F.col("status") == "completed"), latest)
 
 
 def _investigation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,13 +235,15 @@ def _catalog() -> dict[str, Query]:
             _snapshots(s, d), _objects(s, d)),
         "snapshot_timeline": lambda s, d: history.snapshot_timeline(_snapshots(s, d)),
         "message_flatten": _message_flatten,
+        "history_roundtrip": _history_roundtrip,
         # screens
         "health_status": lambda s, d: views.with_status(_health(s, d)),
         "latency_chart": lambda s, d: views.latency_chart(_health(s, d)),
         "health_sorted": lambda s, d: views.sort_health(_health(s, d), "customer", True),
-        "feed_union": lambda s, d: _feed(s, d),
+        "feed_union": lambda s, d: _feed(s, d).drop("summary"),
         "feed_summary": lambda s, d: views.feed_summary(_feed(s, d)),
-        "feed_tail": lambda s, d: views.feed_tail(_feed(s, d, views.FEED_LIMIT)),
+        "feed_tail": lambda s, d: views.feed_tail(
+            _feed(s, d, views.FEED_LIMIT)).drop("summary"),
         "status_summary": lambda s, d: views.status_summary(
             telemetry(s, d), _stored_findings(s, d)),
     }

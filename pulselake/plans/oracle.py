@@ -281,11 +281,24 @@ feed AS (
   FROM telemetry
   UNION ALL
   SELECT 'agent:cycle_start', d, tick, customer_id, substr(d, 1, 80) FROM (
-    SELECT '{"customer_id":"' || customer_id || '","trigger":"anomaly_detected"}' AS d, * FROM alerts)
+    SELECT '{"session_id":"' || sha256(customer_id || '|' || strftime(tick, '%Y-%m-%d %H:%M:%S'))
+      || '","customer_id":"' || customer_id || '","trigger":"anomaly_detected"}' AS d, * FROM alerts)
   UNION ALL
-  SELECT 'agent:finding', '{"id":"' || id || '","session_id":"' || session_id || '","severity":"' || severity
+  SELECT 'agent:finding', '{"id":"' || id || '","session_id":"' || session_id || '","created_at":"'
+      || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '","severity":"' || severity
       || '","customer_id":"' || customer_id || '","customer_name":"' || customer_name || '","title":"' || title
-      || '"}', created_at, id, '[' || severity || '] ' || title FROM findings
+      || '","summary":' || CAST(to_json(summary) AS VARCHAR) || ',"evidence_queries":'
+      || CAST(to_json(string_split(evidence_queries, ' | ')) AS VARCHAR) || '}',
+    created_at, id, '[' || severity || '] ' || title FROM findings
+  UNION ALL
+  SELECT 'agent:tool_call', '{"tool":"customer_list"}', min(created_at), session_id, 'customer_list'
+  FROM findings GROUP BY session_id
+  UNION ALL
+  SELECT 'agent:cycle_complete', d, ended, session, substr(d, 1, 80) FROM (
+    SELECT '{"session_id":"' || session || '","version":6,"customer_id":"' || customer_id
+      || '","findings_count":1}' AS d, * FROM (
+      SELECT 'sweep-1/' || customer_id AS session, customer_id, date_trunc('second', created_at) AS ended
+      FROM findings))
   UNION ALL
   SELECT 'agent:tool_call', '{"tool":"run_sql","sql":' || CAST(to_json(q) AS VARCHAR) || '}', created_at,
     id || ':' || n, 'run_sql: ' || substr(q, 1, 60) || '...'
@@ -321,7 +334,7 @@ def _number(key: str, column: str) -> str:
     return f"""coalesce('"{key}":' || {column} || ',', '')"""
 
 
-def investigation_history_sql() -> str:
+def investigation_history_sql(runs: int = 1) -> str:
     def body(*members: str) -> str:
         return "rtrim(" + " || ".join(members) + ", ',')"
 
@@ -342,15 +355,16 @@ def investigation_history_sql() -> str:
                                 text("error_message", "error_message"))),
         ("finding", body(text("summary", SUMMARY), text("title", TITLE))),
     ]))
+    held = ("" if runs == 1 else ",\n  (SELECT count(DISTINCT sha) FROM hashed) AS objects_held")
     return telemetry(f"""
-SELECT 'sweep-1/' || s.customer_id AS session_id, CAST(s.step + 1 AS BIGINT) AS version,
-  CASE WHEN s.step > 0 THEN CAST(s.step AS BIGINT) END AS parent_version,
+SELECT 'sweep-1/' || s.customer_id AS session_id, CAST(6 * run + s.step + 1 AS BIGINT) AS version,
+  CASE WHEN 6 * run + s.step > 0 THEN CAST(6 * run + s.step AS BIGINT) END AS parent_version,
   CASE WHEN s.step = 5 THEN 'completed' ELSE 'running' END AS status,
   string_agg(p.sha, ',' ORDER BY p.step) AS descriptors,
   strftime({LAST}, '%Y-%m-%dT%H:%M:%S') AS at_time, 'manual' AS trigger,
-  CAST(CASE WHEN s.step = 5 THEN 1 ELSE 0 END AS BIGINT) AS findings_count
-FROM hashed s JOIN hashed p ON p.customer_id = s.customer_id AND p.step <= s.step
-GROUP BY s.customer_id, s.step""", *SWEEP, f"investigated AS ({steps})", """
+  CAST(CASE WHEN s.step = 5 THEN 1 ELSE 0 END AS BIGINT) AS findings_count{held}
+FROM hashed s JOIN hashed p ON p.customer_id = s.customer_id AND p.step <= s.step, range({runs}) r(run)
+GROUP BY run, s.customer_id, s.step""", *SWEEP, f"investigated AS ({steps})", """
 hashed AS (SELECT customer_id, step, sha256('{"message":{"responses":[{"name":"' || name
   || '","response":{"result":' || CAST(to_json(result) AS VARCHAR)
   || '}}],"role":"function_response"},"type":"message"}') AS sha FROM investigated)""")
@@ -441,6 +455,7 @@ FROM health h LEFT JOIN findings f
   ON f.customer_id = h.customer_id OR f.customer_name = h.customer_name
 GROUP BY h.customer_id, h.customer_name""", *SWEEP, stored_findings()),
         "investigation_history": investigation_history_sql(),
+        "history_roundtrip": investigation_history_sql(2),
         "detector_windows": telemetry(f"SELECT {RATES} FROM windows", WINDOWS),
         "detector_anomalies": telemetry(f"SELECT {RATES} FROM anomalies", WINDOWS),
         "detector_alerts": telemetry(f"SELECT {RATES} FROM alerts", ALERTS),
@@ -472,12 +487,15 @@ FROM snapshots"""),
         "message_flatten": "WITH " + MESSAGES + """
 SELECT sha256(content) AS sha, CASE WHEN role IN ('assistant', 'user') THEN 'message' ELSE 'note' END AS type,
   CASE role WHEN 'assistant' THEN 'model' WHEN 'user' THEN 'function_response' END AS role,
-  CASE role WHEN 'assistant' THEN substr(text, 1, 500) WHEN 'user' THEN '' END AS text,
+  CASE role WHEN 'assistant' THEN text WHEN 'user' THEN '' END AS text,
+  CASE role WHEN 'assistant' THEN substr(text, 1, 500) WHEN 'user' THEN '' END AS shown_text,
   CASE WHEN role = 'assistant' THEN 'run_sql, customer_list' END AS tools,
-  CASE WHEN role NOT IN ('assistant', 'user') THEN substr(content, 1, 300) END AS raw,
+  CASE WHEN role NOT IN ('assistant', 'user') THEN content END AS raw,
+  CASE WHEN role NOT IN ('assistant', 'user') THEN substr(content, 1, 300) END AS shown_raw,
   r.n AS response_no,
   CASE r.n WHEN 0 THEN 'run_sql' WHEN 1 THEN 'customer_list' END AS response_tool,
-  CASE r.n WHEN 0 THEN substr(text, 1, 400) WHEN 1 THEN CAST(turn AS VARCHAR) END AS response
+  CASE r.n WHEN 0 THEN text WHEN 1 THEN CAST(turn AS VARCHAR) END AS response,
+  CASE r.n WHEN 0 THEN substr(text, 1, 400) WHEN 1 THEN CAST(turn AS VARCHAR) END AS shown_response
 FROM stored LEFT JOIN (VALUES (0), (1)) r(n) ON stored.role = 'user'""",
         "health_status": telemetry(f"SELECT *, {STATUS} AS status FROM health", health_cte()),
         "latency_chart": telemetry("""

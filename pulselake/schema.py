@@ -30,6 +30,11 @@ WIRE_SCHEMA = T.StructType([
     for f in EVENT_SCHEMA.fields
 ])
 
+OBJECT_SCHEMA = T.StructType([
+    T.StructField("sha", T.StringType()),
+    T.StructField("content", T.StringType()),
+])
+
 SNAPSHOT_SCHEMA = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("version", T.LongType()),
@@ -60,7 +65,7 @@ MESSAGE_SCHEMA = T.StructType([
         ]))),
         T.StructField("responses", T.ArrayType(T.StructType([
             T.StructField("name", T.StringType()),
-            T.StructField("response", T.StructType([T.StructField("result", T.StringType())])),
+            T.StructField("response", T.StringType()),  # JSON text
         ]))),
     ])),
 ])
