@@ -194,13 +194,18 @@ def findings_by_customer(health: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce("session_count", F.lit(0)).alias("session_count"))
 
 
-def investigation_history(found: DataFrame, session_id: str) -> DataFrame:
+def investigation_history(found: DataFrame, session_id: str | None = None,
+                          trigger: str = "manual") -> DataFrame:
     """Steps of an investigation as rows for ``history.save_snapshots``: one message per
-    step with what was found for all reported customers, versions in step order.
+    step with what was found, versions in step order.
 
     Each customer has its own session below ``session_id``, so that no step gathers all
-    customers in one object."""
-    findings = findings_from(found, session_id).select("customer_id", "title", "summary")
+    customers in one object. Without ``session_id`` the ``session_id`` column of ``found``
+    is used, that of an alert."""
+    keys = ["session_id", "customer_id"]
+    if session_id is not None:
+        found = found.withColumn("session_id", F.concat(F.lit(session_id + "/"), "customer_id"))
+    findings = findings_from(found, F.col("session_id")).select(*keys, "title", "summary")
     fields = {
         "survey": F.struct("error_rate", "p99_latency", "request_count"),
         "by_endpoint": F.struct("endpoint", "endpoint_error_rate", "endpoint_p99"),
@@ -211,8 +216,8 @@ def investigation_history(found: DataFrame, session_id: str) -> DataFrame:
     }
     steps = F.array(*[F.struct(F.lit(name).alias("name"), F.to_json(fields[name]).alias("result"))
                       for name in STEPS])
-    rows = (found.join(findings, "customer_id")
-            .select("customer_id", F.col("created_at").alias("_at"),
+    rows = (found.join(findings, keys)
+            .select(*keys, F.col("created_at").alias("_at"),
                     F.posexplode(steps).alias("step", "s")))
     content = F.to_json(F.struct(
         F.struct(F.array(F.struct(
@@ -221,10 +226,10 @@ def investigation_history(found: DataFrame, session_id: str) -> DataFrame:
             F.lit("function_response").alias("role")).alias("message"),
         F.lit("message").alias("type")))
     return history.content_hash(rows.select(
-        F.concat(F.lit(session_id + "/"), "customer_id").alias("session_id"),
+        "session_id",
         F.lit(0).alias("cycle"), (F.col("step") + 1).cast("bigint").alias("version"),
         F.lit(0).alias("pos"), F.date_format("_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
-        "customer_id", F.lit("manual").alias("trigger"),
+        "customer_id", F.lit(trigger).alias("trigger"),
         F.when(F.col("step") == len(STEPS) - 1, 1).otherwise(0).cast("bigint")
         .alias("findings_count"),
         content.alias("content")))
