@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Pre-tokens whose ids a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 700_000, 48
+#: Pre-tokens whose ids a task remembers, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 
 class RankQueue:
@@ -199,11 +199,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(load(path), pattern)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if ``ids``, the
     ``ids`` themselves, for the whole text of every row of ``docs``.
@@ -222,7 +217,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
         kinds += ", ids array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = Encoder(load(path), pattern)  # its memory goes with the task
         decode = encoder.vocabulary.decode
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
