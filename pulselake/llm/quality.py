@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
@@ -23,6 +23,7 @@ PIECE, DICTIONARY, LEVEL = 512, 32_768, 3
 #: Pieces of each class that a dictionary is built from, at most about so many.
 PIECES = 4_000
 THRESHOLD = 0.3
+PRIOR_BYTES = 256
 
 
 def pieces(text: str) -> list[bytes]:
@@ -51,12 +52,12 @@ def sample_pieces(training: DataFrame, label: int) -> list[bytes]:
     return [row.piece.encode("utf-8", "surrogatepass") for row in chosen.collect()]
 
 
-def size_difference(docs: DataFrame, good: bytes, bad: bytes, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and ``difference``: how much smaller, per byte, a whole text gets
-    with the good dictionary than with the bad one (0 for an empty text)."""
+def packed_sizes(docs: DataFrame, good: bytes, bad: bytes, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns, ``bytes`` of the whole text, and ``gain``: how many bytes smaller it
+    gets with the good dictionary than with the bad one."""
     small_batches(docs.sparkSession, 2000)
     rows = docs.select(*keep, "text")
-    schema = rows.drop("text").withColumn("difference", F.lit(0.0)).schema
+    schema = rows.drop("text").withColumns({"gain": F.lit(0.0), "bytes": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = []
@@ -67,22 +68,29 @@ def size_difference(docs: DataFrame, good: bytes, bad: bytes, keep: list[str]) -
                 level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False).compress)
         by_good, by_bad = packers
         for batch in batches:
-            out = []
+            gains, sizes = [], []
             for text in batch.column(len(keep)).to_pylist():
                 cut = pieces(text or "")
-                gain = sum(len(by_bad(p)) - len(by_good(p)) for p in cut)
-                out.append(gain / max(1, sum(map(len, cut))))
+                gains.append(float(sum(len(by_bad(p)) - len(by_good(p)) for p in cut)))
+                sizes.append(float(sum(map(len, cut))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(out, pa.float64())], names=[*keep, "difference"])
+                [*batch.columns[:-1], pa.array(gains), pa.array(sizes)],
+                names=[*keep, "gain", "bytes"])
 
     return rows.mapInArrow(run, schema)
 
 
+def difference(usual: float) -> Column:
+    """The gain per byte. ``PRIOR_BYTES`` bytes of the usual gain are added to each text, since
+    a few words say little: a short text is judged nearly, an empty one wholly as usual."""
+    return (F.col("gain") + PRIOR_BYTES * usual) / (F.col("bytes") + PRIOR_BYTES)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0,
                    threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``.
 
-    Null and empty texts have difference 0 and the score that goes with it. Unless both
+    Null and empty texts have the usual difference and the score that goes with it. Unless both
     labels occur among the learnt rows, the score is 1 throughout: nothing is known to be
     bad. Repeated rows are scored alike, further columns dropped.
     """
@@ -91,6 +99,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remaind
     if training is None:
         return with_decision(docs.withColumn("score", F.lit(1.0)), modulus, remainder, threshold)
     good, bad = dictionary(sample_pieces(training, 1)), dictionary(sample_pieces(training, 0))
-    measured = scratch.keep(size_difference(training, good, bad, ["label", "calibrates"]), "measured")
-    scored = calibrated(size_difference(docs, good, bad, ["doc_id"]), measured, "difference")
+    measured = scratch.keep(packed_sizes(training, good, bad, ["label", "calibrates"]), "measured")
+    totals = measured.agg(F.sum("gain"), F.sum("bytes")).first()
+    per_byte = difference(totals[0] / max(1.0, totals[1])).alias("difference")
+    scored = calibrated(packed_sizes(docs, good, bad, ["doc_id"]).select("doc_id", per_byte),
+                        measured.select("label", "calibrates", per_byte), "difference")
     return with_decision(scored, modulus, remainder, threshold)

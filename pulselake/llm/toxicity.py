@@ -53,9 +53,10 @@ def _entries(text: str) -> set[str]:
     return out
 
 
-def learn_lexicon(training: DataFrame) -> list[str]:
-    """Entries whose odds to occur in a toxic text are far above those in a clean one. The
-    texts are the bounded sample; counts are added up per task and by Spark."""
+def learn_lexicon(training: DataFrame) -> list[tuple[str, float]]:
+    """Entries whose odds to occur in a toxic text are far above those in a clean one, with
+    their log-odds in standard errors as weights. The texts are the bounded sample; counts are
+    added up per task and by Spark."""
     learnt = training.where("not calibrates")
     sizes = dict(learnt.groupBy("label").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -78,40 +79,44 @@ def learn_lexicon(training: DataFrame) -> list[str]:
     odds = F.log(a / (n_toxic + 1 - a)) - F.log(b / (n_clean + 1 - b))
     ranked = counted.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(
         (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
-    return [r.entry for r in ranked.orderBy(F.desc("z"), "entry").limit(LEXICON).collect()]
+    return [(r.entry, r.z) for r in ranked.orderBy(F.desc("z"), "entry").limit(LEXICON).collect()]
 
 
 class Features:
-    def __init__(self, lexicon: list[str]):
+    def __init__(self, lexicon: list[tuple[str, float]]):
         self.entries = ahocorasick.Automaton()
-        for entry in lexicon:
+        for entry, weight in lexicon:
             kind = 0 if entry.endswith(" ") else 1 if entry.startswith(" ") else 2
-            self.entries.add_word(entry, (kind, len(entry)))
+            self.entries.add_word(entry, (kind, len(entry), weight))
         self.empty = not lexicon
         if lexicon:
             self.entries.make_automaton()
 
-    def hits(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
-        """The places of the words that are, begin with or hold a lexicon entry."""
-        found: tuple[set[int], set[int], set[int]] = (set(), set(), set())
+    def hits(self, words: list[str]) -> tuple[dict[int, int], dict[int, float]]:
+        """By place, of the words that are (0), begin with (1) or hold (2) a lexicon entry:
+        the kind of the closest match and the largest weight."""
+        kinds: dict[int, int] = {}
+        weights: dict[int, float] = {}
         if not self.empty:
             starts: list[int] = []
-            for end, (kind, size) in self.entries.iter(" " + " ".join(words) + " "):
+            for end, (kind, size, weight) in self.entries.iter(" " + " ".join(words) + " "):
                 if not starts:
                     at = 0
                     for word in words:
                         starts.append(at)
                         at += len(word) + 1
-                found[kind].add(bisect_right(starts, end - size + 1) - 1)
-        whole, begun, held = found
-        return sorted(whole), sorted(begun - whole), sorted(held - whole - begun)
+                place = bisect_right(starts, end - size + 1) - 1
+                kinds[place] = min(kind, kinds.get(place, kind))
+                weights[place] = max(weight, weights.get(place, weight))
+        return kinds, weights
 
     def of(self, text: str) -> list[float]:
         lower = text.lower()
         words = WORDS.findall(lower)
         n, chars = max(1, len(words)), max(1, len(text))
-        whole, begun, held = self.hits(words)
-        at = sorted({*whole, *begun})
+        kinds, weights = self.hits(words)
+        whole, begun, held = ([i for i, k in kinds.items() if k == kind] for kind in range(3))
+        at = sorted([*whole, *begun])
         persons = [i for i, w in enumerate(words) if w in SECOND_PERSON] if at else []
         near = 0
         for i in at if persons else []:
@@ -119,9 +124,10 @@ class Features:
             near += min(abs(p - i) for p in persons[max(0, j - 1):j + 1]) <= NEAR
         mixed = MIXED.findall(lower) + SPACED.findall(lower)
         plain = [m.replace(" ", "").translate(DISGUISE) for m in mixed]
-        shown = len(set().union(*self.hits(WORDS.findall(" ".join(plain))))) if plain else 0
+        shown = len(self.hits(WORDS.findall(" ".join(plain)))[0]) if plain else 0
+        weight = sum(weights.values())
         upper = sum(map(str.isupper, text)) if text != lower else 0
-        return [len(whole) / n, math.log1p(len(whole)), len(begun) / n, math.log1p(len(begun)),
+        return [weight / n, math.log1p(weight), max(weights.values(), default=0.0), len(whole) / n, math.log1p(len(whole)), len(begun) / n, math.log1p(len(begun)),
                 len(held) / n, math.log1p(len(held)), near / n, len(persons) / n,
                 upper / max(1, sum(map(len, words))),
                 sum(map(str.isupper, text.split())) / n if upper else 0.0,
@@ -129,7 +135,7 @@ class Features:
                 (text.count("!!") + text.count("??")) / n, len(mixed) / n, shown / n]
 
 
-def featurize(docs: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
+def featurize(docs: DataFrame, lexicon: list[tuple[str, float]], keep: list[str]) -> DataFrame:
     """The ``keep`` columns and ``features`` of whole texts."""
     small_batches(docs.sparkSession, 2000)
     rows = docs.select(*keep, "text")
