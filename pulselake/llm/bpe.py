@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Pre-tokens whose ids a task remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 class RankQueue:
@@ -208,7 +208,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     Further columns are dropped. No shuffle; a task holds one Arrow batch (at most 16 MB of
     text or one document) and its memory of at most ``CACHE_ENTRIES`` pre-tokens.
     """
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession, 1000)
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()),
               pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     kinds = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
