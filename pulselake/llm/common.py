@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 
 # Fixed value: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,18 +43,3 @@ class Scratch:
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def flatten(batches: Iterable, size: int) -> Iterator[list]:
-    """Regroup the items of an iterator into lists of ``size``."""
-    out: list = []
-    for item in batches:
-        out.append(item)
-        if len(out) == size:
-            yield out
-            out = []
-    if out:
-        yield out
-
-
-__all__ = ["WORD", "Scratch", "flatten", "materialize", "small_batches", "table", "text_of"]
