@@ -20,13 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates; of rows
-    that repeat a doc_id, or lack one and have equal texts, one row."""
-    groups = minhash.near_duplicates(docs)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
-    unnamed = F.when(F.col("doc_id").isNull(), F.md5("text"))
-    return (docs.join(dropped, "doc_id", "left_anti").withColumn("_unnamed", unnamed)
-            .dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns))
+    """One text, that of the smallest doc_id, of each group of near duplicates; other texts of
+    the same doc_id are documents of their own. Of rows that repeat doc_id (or lack one) and
+    text, one row, the smallest by its other columns."""
+    dropped = minhash.near_duplicate_texts(docs).where(~F.col("kept")).select(
+        "doc_id", F.col("text_key").alias("_text_key")).distinct()
+    return (docs.withColumn("_text_key", minhash.text_key())
+            .join(dropped, ["doc_id", "_text_key"], "left_anti").groupBy("doc_id", "_text_key")
+            .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

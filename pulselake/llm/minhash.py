@@ -1,6 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Documents with the same word sequence are one class; its smallest doc_id stands for it.
+1. Documents with the same word sequence are one class, with an id of its own; the row of the
+   smallest doc_id stands for it.
 2. Signatures are cut into bands; documents that share a band are candidates. In each bucket
    every member is paired with the one that meets most others, the leader.
 3. Pairs are verified in batches of hashes. After each batch, given the matches so far, the
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
@@ -90,28 +91,34 @@ def signature(words: list[bytes], size: int) -> tuple[int, bytes]:
     return len(rows), least.astype("<u4").tobytes()
 
 
+def text_key() -> Column:
+    """Tells the texts of a doc_id apart; a null text from an empty one, too."""
+    return F.coalesce(F.md5("text"), F.lit("")).alias("text_key")
+
+
 def sign(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``key`` (of the word sequence; null without words) and
-    ``sig`` of every row."""
+    """``doc_id``, ``text_key``, ``n_shingles``, ``key`` (of the word sequence; null without
+    words) and ``sig`` of every row."""
     small_batches(docs.sparkSession, 2000)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n_shingles", pa.int64()),
                         ("key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = words_of(text or "")
                 count, sig = signature(words, size) if words else (0, None)
                 counts.append(count)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sigs.append(sig)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()),
+                                              pa.array(counts, pa.int64()),
                                               pa.array(keys, pa.binary()),
                                               pa.array(sigs, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, key binary, sig binary")
+    return docs.select(F.col("doc_id").cast("bigint"), text_key(), "text").mapInArrow(
+        run, "doc_id bigint, text_key string, n_shingles bigint, key binary, sig binary")
 
 
 def least_matches(seen: int, threshold: float, miss: float) -> int:
@@ -285,16 +292,24 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     Two documents link if 100 * intersection >= ``percent`` * union of their sets of
     ``size``-word shingles. ``component_id`` is the smallest doc_id reachable. Null and empty
     texts have no shingles and link with nothing; rows with a null doc_id link with nothing
-    either, have a null component and are kept. Rows that repeat a doc_id give a row each, in
-    one component; of their texts one stands for the id. Other columns are ignored.
+    either, have a null component and are kept. Rows that repeat a doc_id give a row each; its
+    different texts are documents of their own. Of a component the rows of the smallest
+    (doc_id, md5 of the text) are kept. Other columns are ignored.
     """
+    return near_duplicate_texts(docs, size, percent).drop("text_key")
+
+
+def near_duplicate_texts(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``near_duplicates`` with the ``text_key`` of each row."""
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(sign(docs, size), "signed")
     named = signed.where("key is not null and doc_id is not null")
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("id"))
+    classes = scratch.keep(named.groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias(
+        "first")).select("key", "first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     reps = scratch.keep(
-        named.select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig")
-        .join(classes.hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["id"]), "reps")
+        named.withColumnRenamed("n_shingles", "n")
+        .join(classes.hint("merge"), ["key", "doc_id", "text_key"]).dropDuplicates(["id"])
+        .select("id", "doc_id", "text_key", "n", "sig"), "reps")
     bands = reps.select("id", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
             i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("bucket"))
@@ -308,9 +323,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     stars = scratch.keep(shared.join(leads.hint("merge"), "bucket").where("id != a").select(
         "a", F.col("id").alias("b")).distinct(), "stars")
     texts = scratch.keep(
-        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("text is not null")
-        .join(shared.select("id").distinct().hint("merge"), "id", "left_semi")
-        .dropDuplicates(["id"]), "texts")
+        docs.select(F.col("doc_id").cast("bigint"), text_key(), "text").where("text is not null")
+        .join(reps.select("id", "doc_id", "text_key").join(
+            shared.select("id").distinct().hint("merge"), "id", "left_semi").hint("merge"),
+            ["doc_id", "text_key"])
+        .select("id", "text").dropDuplicates(["id"]), "texts")
     checked = scratch.keep(confirm(_with_both(prune(
         _with_both(stars, reps, "sig"), percent), texts, "text"), size, percent), "checked")
     found = scratch.keep(connected_components(checked.where("links").select("a", "b")), "components")
@@ -331,15 +348,22 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     bridges = connected_components(joined).toDF("component", "root")
     scratch.drop(shared, stars, texts, checked, rest, more)
-    final = classes.join(found, "id", "left").withColumn(
+    rooted = scratch.keep(classes.join(found, "id", "left").withColumn(
         "component", F.coalesce("component", "id")).join(bridges, "component", "left").select(
-        "key", F.coalesce("root", "component").alias("root"))
-    # A doc_id that repeats with another text joins its classes by way of the smallest root.
-    return (signed.select("doc_id", "n_shingles", "key").join(final.hint("merge"), "key", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-                    .alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+        "key", "doc_id", "text_key", F.coalesce("root", "component").alias("root")), "rooted")
+    scratch.drop(classes)
+    # Back from classes to doc_ids: a row for each component of several classes.
+    least = scratch.keep(rooted.groupBy("root").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("z"))
+        .where("z > 1").select("root", "least"), "least")
+    final = rooted.join(least, "root", "left").select("key", F.coalesce(
+        "least", F.struct("doc_id", "text_key")).alias("least"))
+    kept = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    return (signed.select("doc_id", "text_key", "n_shingles", "key")
+            .join(final.hint("merge"), "key", "left")
+            .select("doc_id", "text_key", "n_shingles",
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+                    .alias("component_id"), (F.col("doc_id").isNull() | F.coalesce(kept, F.lit(True))).alias("kept")))
 
 
 def minhash_digest(docs: DataFrame) -> DataFrame:
