@@ -148,5 +148,85 @@ SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" f
 FROM docs LEFT JOIN marked USING (id) GROUP BY id, doc_id"""
 
 
+# The checksum of a list of bytes, given the table of the checksums of single ones.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+
+
+def _crc32(text: str) -> str:
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::BIGINT)"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {code}), "
+            "lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))")
+
+
+# Repair by the states of the grammar instead of by lengths: from the last row to the first, the
+# cheapest rest from each state (0: nothing yet, 1: assistant due, 2: user due after system,
+# 3: user due). The edits at hand differ in their letter, so the least string is the least pair.
+def _emit(role: str, to: str) -> str:
+    return f"CASE WHEN NOT gone THEN {{'c': extra + (CASE initial WHEN '{role}' THEN 0 ELSE 3 END) + {to}.c, 'a': (CASE initial WHEN '{role}' THEN 'K' ELSE 'R' END) || {to}.a}} END"
+
+
+def _edit(cost: int, letters: str, to: str) -> str:
+    return f"{{'c': {cost} + {to}.c, 'a': '{letters}' || {to}.a}}"
+
+
+OP11 = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+hits AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) FROM hits WHERE hit > 0)),
+placed AS (
+  SELECT *, coalesce('=' || conv_id, '') AS conv, substr(role, 1, 1) AS initial, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM damaged),
+faults AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY place) || initial AS step,
+    CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+rows AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM faults),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv),
+walk AS (
+  SELECT conv, max(place) + 1 AS place, {{'c': 0::BIGINT, 'a': ''}} AS w0, {{'c': 3::BIGINT, 'a': 'I'}} AS w1,
+    {{'c': 6::BIGINT, 'a': 'II'}} AS w2, {{'c': 0::BIGINT, 'a': ''}} AS w3 FROM rows GROUP BY conv
+  UNION ALL
+  SELECT conv, place, list_min([v0, {_edit(3, 'I', 'v1')}]), list_min([v1, {_edit(3, 'I', 'v3')}]),
+    list_min([v2, {_edit(3, 'I', 'v1')}, {_edit(6, 'II', 'v3')}]), list_min([v3, {_edit(3, 'I', 'v1')}])
+  FROM (
+    SELECT rows.conv, rows.place,
+      list_min([{_edit(4, 'D', 'w0')}, {_emit('u', 'w1')},
+        CASE WHEN initial = 's' AND NOT gone THEN {{'c': extra + w2.c, 'a': 'K' || w2.a}} END]) AS v0,
+      list_min([{_edit(4, 'D', 'w1')}, {_emit('a', 'w3')}]) AS v1,
+      list_min([{_edit(4, 'D', 'w2')}, {_emit('u', 'w1')}]) AS v2,
+      list_min([{_edit(4, 'D', 'w3')}, {_emit('u', 'w1')}]) AS v3
+    FROM walk JOIN rows ON rows.conv = walk.conv AND rows.place = walk.place - 1)),
+audits AS (SELECT conv, w0.c AS cost, w0.a AS audit FROM walk WHERE place = 1),
+letters AS (
+  SELECT conv, n, audit[n] AS edit, n - length(replace(audit[1:n], 'I', '')) AS inserted,
+    length(replace(audit[1:n], 'D', '')) - 1 - length(replace(audit, 'D', '')) % 2 AS spot
+  FROM (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS n FROM audits)),
+lines AS (
+  SELECT letters.conv, n, CASE WHEN edit = 'K' THEN role WHEN spot % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+  FROM letters LEFT JOIN rows ON rows.conv = letters.conv AND rows.place = n - inserted AND edit <> 'I'
+  WHERE edit <> 'D'),
+repaired AS (SELECT conv, sha256(string_agg(line, chr(10) ORDER BY n)) AS sha FROM lines GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS conv FROM conversations)
+LEFT JOIN counts USING (conv) LEFT JOIN audits USING (conv) LEFT JOIN repaired USING (conv)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op4_secrets": OP4, "op5_chat": OP5, "op6_mix": OP6, "op8_topk": OP8, "op9_embeddings": OP9}
+    return {"op1_minhash": OP1, "op4_secrets": OP4, "op5_chat": OP5, "op6_mix": OP6, "op8_topk": OP8, "op9_embeddings": OP9,
+            "op11_repair": OP11}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, minhash, mixing, oracle, quality, secrets, sharding, topk, toxicity
+from . import bpe, chat, embeddings, minhash, mixing, oracle, quality, repair, secrets, sharding, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_topk": _over("embeddings", topk.topk_digest),
         "op9_embeddings": _over("embeddings", embeddings.near_vectors),
         "op10_shard": _over("documents", sharding.shard_digest),
+        "op11_repair": _over("conversations", repair.repair_digest),
     }
 
 
