@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,29 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``_`` for ``.``) for the jobs that run inside."""
+    keys = {k.replace("_", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def arrow_batches(spark: SparkSession, rows: int):
+    """Bounds the Arrow batches of the jobs that run inside, so that very long texts do not add up."""
+    return settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch=rows,
+                    spark_sql_execution_arrow_maxBytesPerBatch=16 << 20)
+
+
 class Scratch:
     """Tables written to the shared folder, deleted one by one once they are not needed."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import chat, imatch, secrets
 from .common import WORD
 
 
@@ -187,7 +187,8 @@ faults AS (
   SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY place) || initial AS step,
     CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'blank'
       WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
 rows AS (
   SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM faults),
 counts AS (
@@ -227,6 +228,82 @@ FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS conv FROM convers
 LEFT JOIN counts USING (conv) LEFT JOIN audits USING (conv) LEFT JOIN repaired USING (conv)"""
 
 
+# Digits, letters and all beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _terms(column: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            f"'abcdefghijklmnopqrstuvwxyz'), '{TERM}')")
+
+
+OP12 = f"""
+WITH crc AS ({CRC_TABLE}),
+docs AS (SELECT row_number() OVER () AS id, doc_id, {_terms('text')} AS terms FROM documents),
+used AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY ALL),
+wanted AS (SELECT term, count(*) AS n FROM (SELECT unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+hashed AS (SELECT term, {_crc32("term")} % 10000 AS bucket
+  FROM (SELECT DISTINCT term FROM used UNION SELECT term FROM wanted), crc),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM used JOIN hashed USING (term) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM wanted JOIN hashed USING (term) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000)
+    / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT id, sum(n * gain) AS total FROM used JOIN hashed USING (term) JOIN gains USING (bucket) GROUP BY id),
+scored AS (
+  SELECT id, doc_id, CAST(len(terms) AS BIGINT) AS n_features,
+    CAST(coalesce((total - ((total % len(terms)) + len(terms)) % len(terms)) // len(terms), 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT + 0.5::DOUBLE)
+      / 4294967296))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN weights USING (id)),
+ranked AS (
+  SELECT id, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS FIRST) AS rank,
+    count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= drawn THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (id)"""
+
+
+OP13 = f"""
+WITH docs AS (
+  SELECT row_number() OVER w AS id, doc_id, coalesce(text, '') AS text,
+    coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS following
+  FROM documents WINDOW w AS (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')))),
+twice AS (
+  SELECT id, 0 AS kind, text FROM docs UNION ALL
+  SELECT id, 1, left(text, length(text) - length(text) // 4) || left(following, length(text) // 4) FROM docs),
+found AS (SELECT id, kind, unnest(list_distinct({_terms('text')})) AS term FROM twice),
+lexicon AS (SELECT term FROM found WHERE kind = 0 GROUP BY term
+  HAVING 1000 * count(*) >= {imatch.LEAST} * (SELECT count(*) FROM docs) AND 1000 * count(*) <= {imatch.MOST} * (SELECT count(*) FROM docs)),
+known AS (SELECT * FROM found SEMI JOIN lexicon USING (term)),
+used AS (
+  SELECT id, kind, term FROM known UNION ALL
+  SELECT id, kind, term FROM found ANTI JOIN known USING (id, kind) UNION ALL
+  SELECT id, kind, text FROM twice ANTI JOIN found USING (id, kind)),
+levels AS (
+  SELECT term, family, 16 - CASE piece WHEN 0 THEN 0 ELSE length(bin(piece)) END AS level
+  FROM (SELECT term, family, ('0x' || sha256((family // 16) || ':' || term)[1 + 4 * (family % 16):4 + 4 * (family % 16)])::INT AS piece
+        FROM (SELECT DISTINCT term FROM used), (SELECT unnest(range({imatch.FAMILIES})) AS family))),
+subsets AS (
+  SELECT id, kind, family, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {imatch.HEX}) AS hash
+  FROM (SELECT id, kind, family, term, level, max(level) OVER (PARTITION BY id, kind, family) AS most
+        FROM used JOIN levels USING (term)) WHERE level = most GROUP BY ALL),
+whole AS (SELECT id, kind, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 16) AS hash FROM used GROUP BY ALL),
+prints AS (
+  SELECT id, kind, any_value(whole.hash) || ':' || string_agg(subsets.hash, '' ORDER BY family) AS print,
+    list(subsets.hash ORDER BY family) AS parts
+  FROM subsets JOIN whole USING (id, kind) GROUP BY id, kind),
+near AS (
+  SELECT a.id, a.kind, b.kind AS other, b.id AS other_id,
+    len(list_filter(list_zip(a.parts, b.parts), lambda x: x[1] = x[2])) / {imatch.FAMILIES}.0::DOUBLE AS near
+  FROM prints a JOIN prints b ON b.kind = 1 AND b.id = a.id
+    OR b.kind = 0 AND b.id = a.id % (SELECT count(*) FROM docs) + 1 WHERE a.kind = 0)
+SELECT doc_id, length(docs.text) AS n_chars, sha256(e.text) AS edited_sha256, p.print AS fingerprint,
+  q.print AS edited_fingerprint, x.near AS near_edited, y.near AS near_next
+FROM docs JOIN twice e ON e.id = docs.id AND e.kind = 1
+JOIN prints p ON p.id = docs.id AND p.kind = 0 JOIN prints q ON q.id = docs.id AND q.kind = 1
+JOIN near x ON x.id = docs.id AND x.other = 1 JOIN near y ON y.id = docs.id AND y.other = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_minhash": OP1, "op4_secrets": OP4, "op5_chat": OP5, "op6_mix": OP6, "op8_topk": OP8, "op9_embeddings": OP9,
-            "op11_repair": OP11}
+            "op11_repair": OP11, "op12_resample": OP12, "op13_imatch": OP13}

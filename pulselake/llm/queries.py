@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, minhash, mixing, oracle, quality, repair, secrets, sharding, topk, toxicity
+from . import (bpe, chat, embeddings, imatch, minhash, mixing, oracle, quality, repair, resample, secrets,
+               sharding, topk, toxicity)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,9 @@ def queries() -> dict[str, Query]:
         "op9_embeddings": _over("embeddings", embeddings.near_vectors),
         "op10_shard": _over("documents", sharding.shard_digest),
         "op11_repair": _over("conversations", repair.repair_digest),
+        "op12_resample": lambda spark, sf_dir: resample.resample(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op13_imatch": _over("documents", imatch.fingerprint_digest),
     }
 
 
