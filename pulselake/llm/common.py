@@ -28,6 +28,23 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def named(column: str) -> Column:
+    """The column of that very name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """``doc``: all columns of ``docs`` but ``text``, whatever their names, as one struct, so that
+    they clash with none. The text stays a column of its own and is shuffled once."""
+    return F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("doc")
+
+
+def unpacked(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of ``docs`` from ``doc`` and ``text``, some of them replaced."""
+    own = {"text": F.col("text")} | instead
+    return [own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns]
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (``_`` for ``.``) for the jobs that run inside."""

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, packed, small_batches, unpacked
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity in percent of intersection over union.
@@ -366,5 +366,17 @@ def near_duplicate_texts(docs: DataFrame, size: int = WORDS, percent: int = PERC
                     .alias("component_id"), (F.col("doc_id").isNull() | F.coalesce(kept, F.lit(True))).alias("kept")))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns, whatever their names
+    and types. Of rows that repeat doc_id (nulls are equal) and text, one, by the md5 of the rest."""
+    dropped = near_duplicate_texts(docs, size, percent).where(~F.col("kept")).select(
+        "doc_id", "text_key").distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_key(), packed(docs), "text")
+    rest = F.md5(F.to_json("doc", {"ignoreNullFields": "false"}))
+    return (rows.join(dropped, ["doc_id", "text_key"], "left_anti").groupBy("doc_id", "text_key")
+            .agg(F.min_by(F.struct("doc", "text"), rest).alias("row")).select(
+                F.col("row.doc"), F.col("row.text")).select(*unpacked(docs)))
+
+
 def minhash_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, size=2)

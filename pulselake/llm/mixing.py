@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, text_of
+from .common import WORD, Scratch, packed, text_of, unpacked
 from .prefix import hash_order, running_total
 
 WEIGHTS = (5, 2, 1)
@@ -129,28 +129,36 @@ def _assign(sized: DataFrame, weights, share, most, schedules) -> DataFrame:
         "key", "klass", "before")
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row for each copy taken, with all columns of ``docs`` and
-    ``train_position``, range-sorted by it.
-
-    Rows are matched to their positions by doc_id, source and size; rows that agree in these
-    three are dealt their positions by number, so no copy is lost or made up."""
+def _taken(docs: DataFrame, **options) -> DataFrame:
+    """``doc`` and ``text``, the packed columns of ``docs``, and ``position`` of each copy."""
     scratch = Scratch(docs.sparkSession)
-    # Numbering and join use the same three columns: the texts are shuffled once for both.
-    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    same = Window.partitionBy("_id", "_key", "_size").orderBy("_tie")
-    rows = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"),
-                       source_key().alias("_key"), doc_size().alias("_size"),
-                       F.lit(0).alias("_tie"))
+    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), source_key().alias("key")]
+    same = Window.partitionBy("id", "key", "size").orderBy("tie")
+    rows = docs.select(packed(docs), "text", *key, doc_size().alias("size"), F.lit(0).alias("tie"))
     placed = scratch.keep(assign(docs, **options).where(F.size("positions") > 0), "placed")
-    slots = placed.select(
-        F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), source_key().alias("_key"),
-        F.col("size").alias("_size"), "positions", F.get("positions", F.lit(0)).alias("_tie"))
-    slots = slots.withColumn("_n", F.row_number().over(same))
-    rows = rows.withColumn("_n", F.row_number().over(same))
-    taken = rows.join(slots.drop("_tie"), ["_id", "_key", "_size", "_n"]).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode("positions").alias("train_position"))
-    return taken.repartitionByRange("train_position").sortWithinPartitions("train_position")
+    slots = placed.select(*key, "size", "positions", F.get("positions", F.lit(0)).alias("tie"))
+    slots = slots.withColumn("n", F.row_number().over(same))
+    rows = rows.withColumn("n", F.row_number().over(same))
+    # Numbering and join use the same three columns: the texts are shuffled once for both.
+    taken = rows.join(slots.drop("tie").hint("merge"), ["id", "key", "size", "n"]).select(
+        "doc", "text", F.explode("positions").alias("position"))
+    return taken.repartitionByRange("position").sortWithinPartitions("position")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row for each copy taken, with all columns of ``docs``, whatever their
+    names, range-sorted by its training position.
+
+    Rows are matched to their positions by doc_id, source and size; rows that agree in these
+    three are dealt their positions by number, so no copy is lost or made up. Nulls, repeated
+    rows and empty tables as in ``assign``."""
+    return _taken(docs, **options).select(*unpacked(docs))
+
+
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """``mixed`` with ``train_position``; an own column of that name is replaced."""
+    kept = docs.drop("train_position")
+    return _taken(kept, **options).select(*unpacked(kept), F.col("position").alias("train_position"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 
 
 @dataclass(frozen=True)
@@ -168,52 +170,95 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 # --- verification ----------------------------------------------------------------------
 
-def _spans(rule: Rule, order: int, hits: Column, groups: Column, gaps: Column) -> Column:
-    """Matches with their code point ranges, from the matches and the text between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,order:int,end:int,kind:string,long:boolean>>").alias("out"))
-    steps = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"),
-                         groups.alias("value"))
-
-    def add(state, step):
-        begin = state["at"] + F.char_length(step["gap"])
-        end = begin + F.char_length(step["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(
-            begin.alias("start"), F.lit(order).alias("order"), end.alias("end"),
-            F.lit(rule.kind).alias("kind"),
-            (F.char_length(step["value"]) >= rule.least).alias("long")))).alias("out"))
-
-    found = F.aggregate(steps, start, add)["out"]
+#: Elements that ``_running`` goes through one by one.
+STEP = 64
+
+
+def _fold(values: Column, combine) -> Column:
+    """Running results of ``combine`` from 0; each step copies what is there."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def add(state, value):
+        at = combine(state["at"], value)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(values, start, add)["out"]
+
+
+def _running(values: Column, combine) -> Column:
+    """Running results of ``combine`` (a sum or maximum, from 0) over an array of numbers: within
+    steps of ``STEP`` elements, over the results of the steps, then both combined. So an array is
+    copied for a step, not for an element."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")),
+                        lambda k: _fold(F.slice(values, k * STEP + 1, STEP), combine))
+    before = F.concat(F.array(F.lit(0)), _fold(F.transform(steps, lambda x: F.element_at(x, -1)), combine))
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(
+        steps, F.slice(before, 1, F.size(steps)), lambda inside, offset: F.transform(
+            inside, lambda x: combine(offset, x))))).otherwise(F.array().cast("array<int>"))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+def _ends(hits: Column, gaps: Column) -> Column:
+    """Where the texts before matches and the matches end in code points, in turn."""
+    return _running(F.flatten(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.array(
+        F.char_length(gap), F.char_length(hit)))), _plus)
+
+
+def _spans(rule: Rule, order: int, groups: Column, ends: Column) -> Column:
+    """Matches with their ranges of code points; those whose value is long enough."""
+    found = F.transform(groups, lambda value, i: F.struct(
+        F.get(ends, 2 * i).alias("start"), F.lit(order).alias("order"), F.get(ends, 2 * i + 1).alias("end"),
+        F.lit(rule.kind).alias("kind"), (F.char_length(value) >= rule.least).alias("long")))
     return F.filter(found, lambda s: s["long"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``, sorted by start, then rule order; per rule the leftmost
-    matches that do not overlap. Null texts are empty. Repeated rows and ids are scanned
-    each. An own column ``spans`` of ``docs`` is replaced."""
-    docs = docs.drop("spans")
-    marked = docs.withColumn("_key", doc_key()).join(
-        candidates(build_index(docs, rules), rules).withColumnRenamed("key", "_key")
-        .withColumnRenamed("kinds", "_kinds"), "_key", "left")
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``doc``, the packed columns of ``docs``, ``text`` and ``spans``."""
+    rows = docs.select(packed(docs), "doc_id", "text")
+    marked = rows.withColumn("key", doc_key()).join(
+        candidates(build_index(rows, rules), rules), "key", "left")
     none = F.array().cast("array<string>")
-    hits, groups, gaps, spans = {}, {}, {}, []
+    hits, groups, gaps, ends, spans = {}, {}, {}, {}, []
     for n, rule in enumerate(rules):
         asked = trigram_query(rule.regex) is None
-        todo = F.lit(True) if asked else F.array_contains("_kinds", rule.kind)
-        hits[f"_h{n}"] = F.when(todo & F.col("text").isNotNull(), F.regexp_extract_all(
+        todo = F.lit(True) if asked else F.array_contains("kinds", rule.kind)
+        hits[f"h{n}"] = F.when(todo & F.col("text").isNotNull(), F.regexp_extract_all(
             F.col("text"), F.lit(rule.regex), F.lit(0))).otherwise(none)
-        some = F.size(f"_h{n}") > 0
-        groups[f"_g{n}"] = F.when(some, F.regexp_extract_all(
+        some = F.size(f"h{n}") > 0
+        groups[f"g{n}"] = F.when(some, F.regexp_extract_all(
             F.col("text"), F.lit(rule.regex), F.lit(rule.group))).otherwise(none) \
-            if rule.group else F.col(f"_h{n}")
-        gaps[f"_s{n}"] = F.when(some, F.split(F.col("text"), rule.regex, -1)).otherwise(none)
-        spans.append(F.when(some, _spans(rule, n, F.col(f"_h{n}"), F.col(f"_g{n}"),
-                                         F.col(f"_s{n}"))).otherwise(F.array()))
-    found = marked.withColumns(hits).withColumns(groups).withColumns(gaps)
+            if rule.group else F.col(f"h{n}")
+        gaps[f"s{n}"] = F.when(some, F.split(F.col("text"), rule.regex, -1)).otherwise(none)
+        ends[f"e{n}"] = F.when(some, _ends(F.col(f"h{n}"), F.col(f"s{n}")))
+        spans.append(F.when(some, _spans(rule, n, F.col(f"g{n}"), F.col(f"e{n}"))).otherwise(F.array()))
+    found = marked.withColumns(hits).withColumns(groups).withColumns(gaps).withColumns(ends)
     merged = F.transform(F.array_sort(F.concat(*spans)), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         s["order"].alias("order")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], merged.alias("spans"))
+    return found.select("doc", "text", merged.alias("spans"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with ``spans``, sorted by start, then rule order; per rule the leftmost
+    matches that do not overlap. Null texts are empty. Repeated rows and ids are scanned
+    each; an empty table gives none. All other columns stay, whatever their names; an own
+    column ``spans`` of ``docs`` is replaced."""
+    kept = docs.drop("spans")
+    return _scanned(kept, rules).select(*unpacked(kept), "spans")
+
+
+def hide(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by a mark. ``n_chars``, if there is one,
+    follows. All columns stay, whatever their names; rows as in ``scan``."""
+    found = _scanned(docs, rules).withColumn("clean", redact(F.col("text"), F.col("spans")))
+    instead = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        old = F.col("doc").getField("n_chars")
+        instead["n_chars"] = F.when(F.size("spans") > 0, F.char_length("clean").cast(
+            docs.schema["n_chars"].dataType)).otherwise(old)
+    return found.select(*unpacked(docs, **instead))
 
 
 def span_text(spans: Column) -> Column:
@@ -222,19 +267,13 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def cut(state, s):
-        # A span that touches the one before goes with it.
-        fresh = (s["start"] > state["at"]) | (state["at"] == 0)
-        out = F.when(fresh, F.concat(state["out"], F.substring(
-            text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    done = F.aggregate(spans, start, cut)
-    rest = F.substring(text, done["at"] + 1, F.char_length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], rest))
+    """``text`` with every span, overlapping or touching ones as one, replaced by ``mark``."""
+    covered = F.concat(F.array(F.lit(0)), _running(F.transform(spans, lambda s: s["end"]), F.greatest))
+    # A span that touches the one before goes with it.
+    pieces = F.zip_with(spans, F.slice(covered, 1, F.size(spans)), lambda s, at: F.when(
+        (s["start"] > at) | (at == 0), F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mark))).otherwise(""))
+    rest = F.substring(text, F.element_at(covered, -1) + 1, F.char_length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
 
 
 def _of_kind(kind: str):

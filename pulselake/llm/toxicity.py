@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches
+from .common import Scratch, small_batches, named
 from .learning import calibrated, held_out, training_rows, with_decision
 
 THRESHOLD = 0.7
@@ -161,7 +161,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder:
     rows are scored alike.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("doc"), "text")
     training = training_rows(docs, labels, "toxic", held_out(modulus, remainder), scratch)
     if training is None:
         return rows.select("doc", F.lit(0.0).alias("score"))
