@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulselake.llm import bpe, minhash, mixing, secrets, toxicity
 from pulselake.session import materialize
@@ -15,39 +14,36 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic, with all their columns, whatever their
+    names. Null and empty texts are scored as texts without words; repeated rows stay or go
+    together; without labelled documents of both kinds, and of an empty table, nothing goes."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text, that of the smallest doc_id, of each group of near duplicates; other texts of
-    the same doc_id are documents of their own. Of rows that repeat doc_id (or lack one) and
-    text, one row, the smallest by its other columns."""
-    dropped = minhash.near_duplicate_texts(docs).where(~F.col("kept")).select(
-        "doc_id", F.col("text_key").alias("_text_key")).distinct()
-    return (docs.withColumn("_text_key", minhash.text_key())
-            .join(dropped, ["doc_id", "_text_key"], "left_anti").groupBy("doc_id", "_text_key")
-            .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    """One text, that of the smallest doc_id, of each group of near duplicates (by pairs of words);
+    other texts of the same doc_id are documents of their own. Null and empty texts and rows
+    without doc_id are near duplicates of none. Of rows that repeat doc_id (or lack one) and
+    text, one row, by the md5 of its other columns, whatever their names and types."""
+    return minhash.drop_near_duplicates(docs, size=2)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret in their texts replaced by a mark; ``n_chars`` follows."""
-    clean = secrets.redact(F.col("text"), F.col("spans"))
-    found = secrets.scan(docs).withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(
-            F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-            .otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    """All documents, every secret in their texts replaced by a mark; ``n_chars`` follows. Null
+    texts stay null, repeated rows stay, other columns are untouched, whatever their names."""
+    return secrets.hide(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, in training order."""
-    return mixing.curriculum(docs).select(*docs.columns)
+    """A row for each copy that the mix takes, in training order, with all columns of ``docs``,
+    whatever their names. A null source is a source; texts without words are taken once at
+    most; repeated rows are taken as documents of their own."""
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, with their digest and that of the text they decode to."""
+    """Token ids of every copy, with their digest and that of the text they decode to. A null
+    text is empty and has no ids; every row gives a row; other columns are dropped."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                 public_tokenizers.PATTERN, ids=True)
 
