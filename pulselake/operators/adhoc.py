@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +17,35 @@ from pyspark.sql import types as T
 
 #: Fixed value: most rows of a result, a limit of the interface. None lifts it.
 MAX_ROWS = 500
-# Plan leaves that read nothing: literals, ranges, and references to the statement's own CTEs.
-_OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
-# Expressions that call arbitrary code.
-_CODE = {"CallMethodViaReflection", "TryReflect", "ScalaUDF", "PythonUDF", "Invoke",
-         "ScalaUDAF", "HiveGenericUDF", "HiveSimpleUDF"}
+#: Seconds a statement may run.
+SECONDS = 60
+# What a statement's analysed plan may consist of. Whatever is not named here is refused:
+# scripts, files, tables, functions in other languages, commands, and what later versions add.
+LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+NODES = LEAVES | {
+    "Project", "Filter", "Aggregate", "Join", "LateralJoin", "Window", "Sort", "Distinct", "Deduplicate",
+    "GlobalLimit", "LocalLimit", "Offset", "Sample", "Union", "UnionLoop", "Intersect", "Except", "Expand",
+    "Generate", "SubqueryAlias", "WithCTE", "CTERelationDef", "ResolvedHint", "Repartition",
+    "RepartitionByExpression", "RebalancePartitions", "SQLFunctionNode"}
+# Expressions that are no functions: references, casts, windows, subqueries, access to
+# fields, arithmetic on times.
+STRUCTURE = {
+    "AttributeReference", "Alias", "Literal", "Cast", "SortOrder", "AggregateExpression", "ScalarSubquery",
+    "LateralSubquery", "Exists", "InSubquery", "ListQuery", "OuterReference", "LambdaFunction",
+    "NamedLambdaVariable", "WindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame",
+    "UnspecifiedFrame$", "CurrentRow$", "UnboundedPreceding$", "UnboundedFollowing$", "RowFrame$", "RangeFrame$",
+    "GetStructField", "GetArrayStructFields", "GetArrayItem", "GetMapValue", "DatetimeSub", "TimestampAdd",
+    "TimestampDiff", "TimestampAddInterval", "TimestampAddYMInterval", "DateAddInterval", "DateAddYMInterval",
+    "SubtractTimestamps", "SubtractDates", "MultiplyDTInterval", "MultiplyYMInterval", "DivideDTInterval",
+    "DivideYMInterval", "PreciseTimestampConversion", "KnownNullable", "KnownNotNull", "TimeWindow", "PivotFirst"}
+#: A SQL function, such as ``time_bucket``: its body is part of the plan.
+INLINED = "SQLScalarFunction"
+# Groups of built-in functions that only compute; and one more function.
+GROUPS = {f"{group}_funcs" for group in (
+    "agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "datetime", "generator", "hash",
+    "json", "lambda", "map", "math", "predicate", "string", "struct", "url", "variant", "window")}
+HARMLESS = {"typeof"}
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions"
 
 
 def _error(spark: SparkSession, message: str) -> DataFrame:
@@ -45,31 +74,79 @@ def is_query(spark: SparkSession, sql: str) -> bool:
     return True
 
 
-def objections(df: DataFrame, view: str) -> list[str]:
-    """What the analysed plan of ``df`` reads besides ``view``, and the code it calls.
-
-    Names are resolved here, whatever they were written as, so CTEs that shadow a table,
-    ``IDENTIFIER`` clauses and file paths show as what they read.
-    """
-    pending, found = [df._jdf.queryExecution().analyzed()], []
-    while pending:
-        node = pending.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "View" and node.desc().identifier().table() == view:
-            continue
-        children = _scala_list(node.children())
-        if kind == "View":
-            found.append(f"Unknown table: {node.desc().identifier().table()}")
-        elif not children and kind not in _OWN_LEAVES:
-            found.append(f"Unknown table: {node.simpleString(40)}")
-        pending += children + _scala_list(node.subqueries())
-        expressions = _scala_list(node.expressions())
-        while expressions:
-            expression = expressions.pop()
-            if expression.getClass().getSimpleName() in _CODE:
+@lru_cache(1)
+def _functions(jvm) -> tuple[set[str], set[str]]:
+    """Names and classes of the built-in functions that statements may call."""
+    registry = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    names, classes = set(HARMLESS), set()
+    for identifier in _scala_list(registry.listFunction()):
+        info = registry.lookupFunction(identifier).get()
+        if info.getGroup() in GROUPS:
+            names.add(info.getName().lower())
+            classes.add(info.getClassName())
+    return names, classes
+
+
+class Gate:
+    """Walks analysed plans and tells what in them is not allowed."""
+
+    def __init__(self, spark: SparkSession, view: str):
+        self.view, self.names, self.classes = view, *_functions(spark._jvm)
+        of = spark._jvm.Class.forName
+        self.rewritten = of(f"{_EXPRESSIONS}.InheritAnalysisRules")
+        self.foreign = of(f"{_EXPRESSIONS}.UserDefinedExpression")
+
+    def _allowed(self, expression) -> bool:
+        kind = expression.getClass()
+        if kind.getSimpleName() == INLINED:
+            return True
+        if self.foreign.isInstance(expression) or not kind.getName().startswith(_EXPRESSIONS + "."):
+            return False
+        return (kind.getSimpleName() in STRUCTURE or kind.getName() in self.classes
+                or expression.prettyName().lower() in self.names)
+
+    def _in_expressions(self, pending: list) -> list[str]:
+        found = []
+        while pending:
+            expression = pending.pop()
+            if not self._allowed(expression):
                 found.append(f"Function not allowed: {expression.prettyName()}")
-            expressions += _scala_list(expression.children())
-    return found
+            # Of a function that stands for others, what it was given.
+            pending += _scala_list(expression.parameters() if self.rewritten.isInstance(expression)
+                                   else expression.children())
+        return found
+
+    def objections(self, plan) -> list[str]:
+        """Every node and expression that is not allowed, the outermost first.
+
+        Names are resolved here, whatever they were written as, so CTEs that shadow a table,
+        ``IDENTIFIER`` clauses and file paths show as what they read.
+        """
+        pending, found = [plan], []
+        while pending:
+            node = pending.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "View":
+                if node.desc().identifier().table() != self.view:
+                    found.append(f"Unknown table: {node.desc().identifier().table()}")
+                continue
+            children = _scala_list(node.children())
+            if kind not in NODES:
+                found.append(f"Not allowed: {kind}" if children else f"Unknown table: {node.simpleString(40)}")
+            found += self._in_expressions(_scala_list(node.expressions()))
+            pending += children + _scala_list(node.subqueries())
+        return found
+
+
+def _apart(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` but no views and functions of its own, in which
+    names are not taken for files."""
+    child = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
+            child.conf.set(key, value)
+    child.conf.set("spark.sql.runSQLOnFiles", "false")
+    return child
 
 
 def register_time_bucket(spark: SparkSession, time_type: str) -> None:
@@ -90,36 +167,64 @@ def ad_hoc_sql(spark: SparkSession, sql: str, df: DataFrame,
 
     At most ``max_rows`` rows come back, whatever the statement's own limit; None lifts
     the cap. A statement that is refused or cannot be analysed gives one ``error`` row.
-    It must parse as a query, which is then placed inside a subquery, and its analysed plan
-    may read nothing but ``events``. Errors that only show when rows are computed are raised;
-    ``run_ad_hoc`` returns those as a row as well.
+    It must parse as a query, which is then placed inside a subquery of a session of its own;
+    every node and expression of its analysed plan must be of an allowed class, and it may read
+    nothing but ``events``. Errors that only show when rows are computed are raised;
+    ``run_ad_hoc`` returns those as a row as well, and ends statements that take too long.
     """
     sql = re.sub(r"[;\s]+$", "", sql)
     view = f"events_{uuid.uuid4().hex}"
     try:
         if not is_query(spark, sql):
             return _error(spark, "Only queries can be run, not commands or changes")
-        register_time_bucket(spark, df.schema["timestamp"].dataType.simpleString())
-        df.createOrReplaceTempView(view)
-        result = spark.sql(f"WITH events AS (SELECT * FROM {view}) SELECT * FROM (\n{sql}\n)")
-        refused = objections(result, view)
+        df.createGlobalTempView(view)
+        child = _apart(spark)
+        register_time_bucket(child, df.schema["timestamp"].dataType.simpleString())
+        result = child.sql(
+            f"WITH events AS (SELECT * FROM global_temp.{view}) SELECT * FROM (\n{sql}\n)")
+        refused = Gate(spark, view).objections(result._jdf.queryExecution().analyzed())
         if refused:
             return _error(spark, refused[0])
         return result if max_rows is None else result.limit(max_rows)
     except PySparkException as error:
         return _error(spark, str(error))
     finally:
-        spark.catalog.dropTempView(view)
+        spark.catalog.dropGlobalTempView(view)
 
 
-def run_ad_hoc(spark: SparkSession, sql: str, df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``ad_hoc_sql``, executed: an error at run time gives an ``error`` row too. The rows, no
-    more than ``max_rows``, come to the driver."""
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float) -> Iterator[list[bool]]:
+    """Cancels the jobs started inside once ``seconds`` have passed; what is given tells whether
+    it did. Jobs of other threads go on."""
+    sc, tag, late, done = spark.sparkContext, f"limit-{uuid.uuid4().hex}", [], threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.append(True)
+        while not done.wait(0.2):  # also jobs that only start then
+            sc.cancelJobsWithTag(tag)
+
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
+    threading.Thread(target=watch, daemon=True).start()
     try:
-        result = ad_hoc_sql(spark, sql, df, max_rows)
-        return spark.createDataFrame(result.collect(), result.schema)
-    except PySparkException as error:
-        return _error(spark, str(error))
+        yield late
+    finally:
+        done.set()
+        sc.setInterruptOnCancel(False)
+        sc.removeJobTag(tag)
+
+
+def run_ad_hoc(spark: SparkSession, sql: str, df: DataFrame, max_rows: int = MAX_ROWS,
+               seconds: float = SECONDS) -> DataFrame:
+    """``ad_hoc_sql``, executed: an error at run time, or taking longer than ``seconds``, gives an
+    ``error`` row too. The rows, no more than ``max_rows``, come to the driver."""
+    with time_limit(spark, seconds) as late:
+        try:
+            result = ad_hoc_sql(spark, sql, df, max_rows)
+            return spark.createDataFrame(result.collect(), result.schema)
+        except (PySparkException, Py4JJavaError) as error:
+            return _error(spark, f"Time limit of {seconds:g} s exceeded" if late else str(error))
 
 
 def _iso(name: str, zoned: bool) -> Column:

@@ -31,6 +31,16 @@ WHERE a.status_code >= 500 GROUP BY a.customer_id"""
 SQL_BUCKETS = """SELECT time_bucket(INTERVAL '1 minute', timestamp) AS minute,
   COUNT(*) AS requests, COUNT(DISTINCT customer_id) AS customers
 FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 20"""
+# Statements that the gate must refuse, and one at the end that it must let through.
+SQL_REFUSED = {
+    "change": "INSERT INTO events SELECT * FROM events",
+    "command": "DROP TABLE events",
+    "file": "SELECT * FROM parquet.`/tmp/events`",
+    "function": "SELECT reflect('java.lang.System', 'getenv', customer_id) AS x FROM events",
+    "script": "SELECT TRANSFORM(customer_id) USING 'cat' AS (x STRING) FROM events",
+    "table": "WITH e AS (SELECT * FROM elsewhere) SELECT * FROM events JOIN e USING (trace_id)",
+    "two statements": "SELECT 1; DROP TABLE events",
+}
 SQL_JSON = """SELECT customer_id, MAX(timestamp) AS last_seen, COUNT(*) AS requests,
   MAX(error_message) AS error_message FROM events GROUP BY customer_id"""
 
@@ -86,6 +96,17 @@ def _adhoc(sql: str, max_rows: int | None = adhoc.MAX_ROWS) -> Query:
     return lambda s, d: adhoc.ad_hoc_sql(s, sql, telemetry(s, d), max_rows)
 
 
+def _sql_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of statement the rows that come back and whether they are the table's."""
+    events, out = telemetry(spark, sf_dir), None
+    for kind, sql in {**SQL_REFUSED, "none": "SELECT customer_id FROM events"}.items():
+        rows = adhoc.ad_hoc_sql(spark, sql, events, None)
+        counted = rows.select(F.lit(kind).alias("kind"), F.lit(rows.columns == ["error"]).alias("refused")).groupBy(
+            "kind", "refused").agg(F.count(F.lit(1)).alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def _joined_evidence(df: DataFrame) -> DataFrame:
     return df.withColumn("evidence_queries", F.array_join("evidence_queries", " | "))
 
@@ -187,13 +208,11 @@ def _catalog() -> dict[str, Query]:
         "customer_health": _health,
         "customer_health_15m": lambda s, d: health.customer_health(telemetry(s, d), minutes=15),
         "customer_health_all": lambda s, d: health.customer_health(telemetry(s, d), minutes=None),
-        # Two names from when there were two plans; there is one now.
-        "customer_health_spread": lambda s, d: health.customer_health(
-            telemetry(s, d), minutes=None),
         "recent_events": lambda s, d: health.recent_events(telemetry(s, d)),
         "deploy_history": lambda s, d: health.deploy_history(telemetry(s, d)),
         "sql_guarded_select": _adhoc(SQL_SELECT),
         "sql_guarded_with": _adhoc(SQL_WITH),
+        "sql_guarded_rejected": _sql_refused,
         "sql_self_join": _adhoc(SQL_SELF_JOIN),
         "sql_time_bucket": _adhoc(SQL_BUCKETS),
         "sql_json_rows": lambda s, d: adhoc.to_json_rows(_adhoc(SQL_JSON, None)(s, d)),
@@ -204,7 +223,6 @@ def _catalog() -> dict[str, Query]:
         "drill_endpoint": lambda s, d: drilldown.by_endpoint(telemetry(s, d)),
         "drill_deploy": lambda s, d: drilldown.by_deploy(telemetry(s, d)),
         "drill_timeline": lambda s, d: drilldown.timeline(telemetry(s, d)),
-        "drill_timeline_spread": lambda s, d: drilldown.timeline(telemetry(s, d)),
         "degradation_onset": lambda s, d: drilldown.onset(drilldown.timeline(telemetry(s, d))),
         "drill_errors": lambda s, d: drilldown.error_messages(telemetry(s, d)),
         "severity_classify": lambda s, d: drilldown.with_severity(_health(s, d)),

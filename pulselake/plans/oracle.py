@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..operators.findings import EVIDENCE
-from .catalog import SQL_BUCKETS, SQL_SELF_JOIN, SQL_WITH
+from .catalog import SQL_BUCKETS, SQL_REFUSED, SQL_SELF_JOIN, SQL_WITH
 
 TELEMETRY = """
 base AS (
@@ -409,7 +409,6 @@ SELECT count(*) AS events_received, count(*) FILTER (reason IS NULL) AS events_a
         "customer_health": telemetry("SELECT * FROM health", health_cte()),
         "customer_health_15m": telemetry("SELECT * FROM health", health_cte(15)),
         "customer_health_all": telemetry("SELECT * FROM health", health_cte(None)),
-        "customer_health_spread": telemetry("SELECT * FROM health", health_cte(None)),
         "recent_events": telemetry(
             "SELECT * FROM telemetry ORDER BY timestamp DESC, trace_id LIMIT 50"),
         "deploy_history": telemetry(f"""
@@ -419,6 +418,9 @@ SELECT deploy_version, min(timestamp) AS first_seen, max(timestamp) AS last_seen
 FROM telemetry GROUP BY deploy_version ORDER BY first_seen DESC LIMIT 20"""),
         "sql_guarded_select": sql_select,
         "sql_guarded_with": over_events(SQL_WITH),
+        "sql_guarded_rejected": telemetry("SELECT kind, true AS refused, 1::BIGINT AS n FROM (VALUES "
+            + ", ".join(f"('{kind}')" for kind in SQL_REFUSED) + ") AS t(kind) "
+            "UNION ALL SELECT 'none', false, count(*) FROM telemetry"),
         "sql_self_join": over_events(SQL_SELF_JOIN),
         "sql_time_bucket": over_events(SQL_BUCKETS),
         "sql_json_rows": telemetry("""
@@ -435,7 +437,6 @@ FROM telemetry GROUP BY customer_id"""),
         "drill_endpoint": telemetry(rollup("customer_id, endpoint")),
         "drill_deploy": telemetry(deploy_rollup("customer_id")),
         "drill_timeline": telemetry(timeline_rollup("customer_id")),
-        "drill_timeline_spread": telemetry(timeline_rollup("customer_id")),
         "degradation_onset": telemetry(f"""
 SELECT customer_id, min(bucket_start) AS onset FROM ({timeline_rollup('customer_id')})
 WHERE request_count >= 10 AND {SURVEY} GROUP BY customer_id"""),
