@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import MESSAGE_SCHEMA, OBJECT_SCHEMA, SNAPSHOT_SCHEMA
 from ..session import materialize
 
 # How much of a stored text the timeline shows.
 TEXT_CHARS, RESPONSE_CHARS, RAW_CHARS = 500, 400, 300
+#: Hexadecimal digits of a hash by which stored objects are partitioned.
+PREFIX = 2
 
 
 def canonical_json(document: Column) -> Column:
@@ -87,15 +93,29 @@ def versions(snapshots: DataFrame, session_id: str | None = None) -> DataFrame:
     return in_session(snapshots, session_id).orderBy("session_id", "version")
 
 
+def new_references(snapshots: DataFrame) -> DataFrame:
+    """``(session_id, version, pos, sha)`` of the descriptors that a version adds to the one before
+    it in its session. A version that goes on from the one before, as all of a cycle do, gives
+    only what lies beyond that; so each descriptor of a cycle is exploded once."""
+    before = F.lag("descriptors").over(Window.partitionBy("session_id").orderBy("version"))
+    known = F.size("_before")
+    goes_on = (known <= F.size("descriptors")) & (F.slice("descriptors", F.lit(1), known) == F.col("_before"))
+    start = F.when(F.col("_before").isNotNull() & goes_on, known).otherwise(0)
+    added = F.when(F.col("_start") == 0, F.col("descriptors")).otherwise(F.slice(
+        "descriptors", F.col("_start") + 1, F.size("descriptors")))
+    return (snapshots.select("session_id", "version", "descriptors", before.alias("_before"))
+            .withColumn("_start", start)
+            .select("session_id", "version", "_start", F.posexplode(added).alias("_pos", "sha"))
+            .select("session_id", "version", (F.col("_start") + F.col("_pos")).alias("pos"), "sha"))
+
+
 def replay(snapshots: DataFrame, objects: DataFrame, session_id: str | None = None) -> DataFrame:
     """Objects of a session in order of first appearance, each hash once.
 
     The minimum of (version, pos) is combined map-side. An object that many sessions share
     is a hot key of the join; adaptive execution splits it on the side of the references.
     """
-    referenced = in_session(snapshots, session_id).select(
-        "session_id", "version", F.posexplode("descriptors").alias("pos", "sha"))
-    first = (referenced.groupBy("session_id", "sha")
+    first = (new_references(in_session(snapshots, session_id)).groupBy("session_id", "sha")
              .agg(F.min(F.struct("version", F.col("pos").cast("bigint").alias("pos"))).alias("seen"))
              .select("session_id", "sha", "seen.version", "seen.pos"))
     return get_objects(first, objects).orderBy("session_id", "version", "pos")
@@ -151,39 +171,68 @@ def flatten_messages(objects: DataFrame) -> DataFrame:
         F.substring("response", 1, RESPONSE_CHARS).alias("shown_response"))
 
 
-def store_objects(new: DataFrame, path: str) -> None:
-    """Append the objects of ``new`` that the table at ``path`` does not hold yet."""
-    spark = new.sparkSession
-    stored = spark.read.schema(OBJECT_SCHEMA).parquet(path) if _exists(spark, path) else None
-    put_objects(new, stored).write.mode("append").parquet(path)
+# --- the store ---------------------------------------------------------------------------
+#
+# Below one path: ``objects``, by the beginning of their hash; ``snapshots``, a folder for each
+# run; ``commits``, a row for each run whose snapshots are complete. Sweeps and the batches of
+# alert streams are runs alike. Readers see committed runs only.
 
 
-def store_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append snapshots; (session, version) pairs that the table holds are left out, so a
-    retried step is stored once."""
-    spark = snapshots.sparkSession
-    if _exists(spark, path):
-        stored = stored_snapshots(spark, path).select("session_id", "version")
-        snapshots = snapshots.join(stored, ["session_id", "version"], "left_anti")
-    snapshots.write.mode("append").parquet(path)
+def _touched(new: DataFrame) -> list[str]:
+    """The prefixes among the hashes of ``new``, at most 16 ** ``PREFIX``."""
+    return sorted(r[0] for r in new.select(_prefix()).distinct().collect())
 
 
-def stored_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
+def _prefix() -> Column:
+    return F.substring("sha", 1, PREFIX).alias("prefix")
+
+
+def candidates_for(new: DataFrame, path: str) -> DataFrame:
+    """The stored objects below ``path`` among which those of ``new`` could be: only the folders of
+    their prefixes are listed in the plan."""
+    return _object_rows(new.sparkSession, path).where(F.col("prefix").isin(_touched(new)))
+
+
+def store_objects(new: DataFrame, path: str) -> None:
+    """Append the objects of ``new`` that are not below ``path`` yet."""
+    known = candidates_for(new, path) if _exists(new.sparkSession, f"{path}/objects") else None
+    (put_objects(new, known).withColumn("prefix", _prefix()).hint("rebalance", "prefix")
+     .write.mode("append").partitionBy("prefix").parquet(f"{path}/objects"))
+
+
+def _object_rows(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*OBJECT_SCHEMA.fields, T.StructField("prefix", T.StringType())])
+    if not _exists(spark, f"{path}/objects"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/objects")
 
 
 def stored_objects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OBJECT_SCHEMA).parquet(path)
+    """All objects, each once even if two writers put it at the same time."""
+    return _object_rows(spark, path).drop("prefix").dropDuplicates(["sha"])
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``run`` of each run that is complete."""
+    if not _exists(spark, f"{path}/commits"):
+        return spark.createDataFrame([], "run STRING")
+    return spark.read.schema("run STRING").parquet(f"{path}/commits").distinct()
+
+
+def stored_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshots of all committed runs. What a run that failed left behind is not read."""
+    if not _exists(spark, f"{path}/snapshots"):
+        return spark.createDataFrame([], SNAPSHOT_SCHEMA)
+    schema = T.StructType([*SNAPSHOT_SCHEMA.fields, T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{path}/snapshots").join(
+        committed_runs(spark, path), "run", "left_semi").drop("run")
 
 
 def continue_sessions(steps: DataFrame, path: str) -> DataFrame:
-    """``steps`` with their versions counted on from the latest stored one of their session,
+    """``steps`` with their versions counted on from the latest committed one of their session,
     each run a cycle of its own; unchanged where nothing is stored."""
-    spark = steps.sparkSession
-    if not _exists(spark, path):
-        return steps
-    stored = stored_snapshots(spark, path)
-    latest = latest_versions(stored).withColumnRenamed("latest_version", "_latest")
+    latest = latest_versions(stored_snapshots(steps.sparkSession, path)).withColumnRenamed(
+        "latest_version", "_latest")
     shift = F.coalesce("_latest", F.lit(0))
     return (steps.join(latest, "session_id", "left")
             .withColumn("cycle", F.col("cycle") + shift.cast("int"))
@@ -191,12 +240,40 @@ def continue_sessions(steps: DataFrame, path: str) -> DataFrame:
             .drop("_latest").select(*steps.columns))
 
 
-def store_run(steps: DataFrame, path: str) -> None:
-    """Store one run of investigations, ``steps`` as for ``save_snapshots``: its objects below
-    ``path``/objects, its snapshots below ``path``/snapshots, versions following on."""
-    steps = materialize(continue_sessions(steps, f"{path}/snapshots"), "steps")
-    store_objects(steps, f"{path}/objects")
-    store_snapshots(save_snapshots(steps), f"{path}/snapshots")
+def write_run(steps: DataFrame, path: str, run: str) -> None:
+    """The objects and snapshots of ``run``, whose versions follow on, without its commit. What an
+    earlier attempt at the run left behind is replaced."""
+    steps = materialize(continue_sessions(steps, path), "steps")
+    store_objects(steps, path)
+    save_snapshots(steps).write.mode("overwrite").parquet(f"{path}/snapshots/run={run}")
+
+
+def store_run(steps: DataFrame, path: str, run: str | None = None) -> str:
+    """Store one run of investigations, ``steps`` as for ``save_snapshots``, and return its id.
+
+    Objects come first, then snapshots, then the commit: a run that fails shows nothing and can
+    be repeated under its id, and a run that is committed is not stored again. Runs may be
+    written side by side as long as they continue different sessions."""
+    spark = steps.sparkSession
+    run = uuid.uuid4().hex if run is None else re.sub(r"[^\w.-]", "_", run)
+    if committed_runs(spark, path).where(F.col("run") == run).isEmpty():
+        write_run(steps, path, run)
+        spark.createDataFrame([(run,)], "run STRING").coalesce(1).write.mode("append").parquet(
+            f"{path}/commits")
+    return run
+
+
+def content_run(steps: DataFrame) -> str:
+    """An id for a run by what it holds, the same whenever the same steps are stored again."""
+    held = steps.agg(F.count(F.lit(1)), F.sum(F.xxhash64("session_id", "version", "pos", "sha").cast(
+        "decimal(38,0)"))).first()
+    return f"content-{held[0]}-{held[1] or 0}"
+
+
+def compact_objects(spark: SparkSession, path: str, target: str) -> None:
+    """Write the objects below ``path`` to ``target`` in few files, one or more to a prefix."""
+    (stored_objects(spark, path).withColumn("prefix", _prefix()).hint("rebalance", "prefix")
+     .write.mode("overwrite").partitionBy("prefix").parquet(f"{target}/objects"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -170,9 +170,30 @@ def _history_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(findings.evidence(telemetry(spark, sf_dir)))
     for _ in range(2):
         history.store_run(findings.investigation_history(found, "sweep-1"), path)
-    snapshots = history.stored_snapshots(spark, f"{path}/snapshots")
-    held = history.stored_objects(spark, f"{path}/objects").agg(F.count(F.lit(1))).scalar()
-    return _flat_snapshot(snapshots).withColumn("objects_held", held)
+    held = history.stored_objects(spark, path).agg(F.count(F.lit(1))).scalar()
+    return _flat_snapshot(history.stored_snapshots(spark, path)).withColumn("objects_held", held)
+
+
+def _history_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep and the alerts' investigations in one store, with an attempt that fails before its
+    commit, its repetition, a run that is stored twice and one that goes on with a session."""
+    path, events = scratch_path(spark, "history"), telemetry(spark, sf_dir)
+    sweep = materialize(findings.investigation_history(findings.evidence(events), "sweep-1"))
+    alerts = materialize(findings.investigation_history(findings.alert_evidence(
+        _alerts(spark, sf_dir), events), trigger=detector.REASON))
+    history.store_run(sweep, path, "first")
+    history.write_run(alerts.where("version <= 3"), path, "failed")
+    history.write_run(alerts, path, history.content_run(alerts))
+    for _ in range(2):
+        history.store_run(alerts, path, history.content_run(alerts))
+    history.store_run(sweep, path, "first")
+    history.store_run(sweep, path, "second")
+    snapshots = materialize(history.stored_snapshots(spark, path))
+    replayed = history.replay(snapshots, history.stored_objects(spark, path))
+    return (snapshots.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("versions"), F.max("version").alias("latest"),
+        F.max("metadata.trigger").alias("trigger"), F.sum(F.size("descriptors")).alias("descriptors"))
+        .join(replayed.groupBy("session_id").agg(F.count(F.lit(1)).alias("objects")), "session_id"))
 
 
 def _message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +275,7 @@ def _catalog() -> dict[str, Query]:
         "snapshot_timeline": lambda s, d: history.snapshot_timeline(_snapshots(s, d)),
         "message_flatten": _message_flatten,
         "history_roundtrip": _history_roundtrip,
+        "history_two_writers": _history_two_writers,
         # screens
         "health_status": lambda s, d: views.with_status(_health(s, d)),
         "latency_chart": lambda s, d: views.latency_chart(_health(s, d)),

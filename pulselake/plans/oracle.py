@@ -457,6 +457,10 @@ FROM health h LEFT JOIN findings f
 GROUP BY h.customer_id, h.customer_name""", *SWEEP, stored_findings()),
         "investigation_history": investigation_history_sql(),
         "history_roundtrip": investigation_history_sql(2),
+        "history_two_writers": "SELECT * FROM (" + telemetry("""
+SELECT 'sweep-1/' || customer_id AS session_id, 12::BIGINT AS versions, 12::BIGINT AS latest, 'manual' AS trigger,
+  42::BIGINT AS descriptors, 6::BIGINT AS objects FROM report""", *SWEEP) + """) UNION ALL SELECT * FROM (""" + telemetry("""
+SELECT session_id, 6, 6, 'anomaly_detected', 21, 6 FROM report""", *ALERT_SCOPE) + ")",
         "detector_windows": telemetry(f"SELECT {RATES} FROM windows", WINDOWS),
         "detector_anomalies": telemetry(f"SELECT {RATES} FROM anomalies", WINDOWS),
         "detector_alerts": telemetry(f"SELECT {RATES} FROM alerts", ALERTS),

@@ -92,9 +92,10 @@ def start_investigations(alerts: DataFrame, read_events: Callable[[], DataFrame]
     and snapshots of its session.
 
     Each batch is written out first: investigating it reads it several times, and must not
-    run the stateful query again. Findings and snapshots of a batch go to its own folder in
-    overwrite mode, objects only if they are new, so a batch that is retried after a failure
-    replaces what it wrote before.
+    run the stateful query again. Findings of a batch go to its own folder in overwrite mode.
+    Its history is one run of the store, named by its content: a batch that is retried after a
+    failure replaces what it wrote before, one that was stored is not stored again, whatever
+    number it has. Sweeps may be stored below the same path.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(batch.sparkSession):
@@ -106,9 +107,7 @@ def start_investigations(alerts: DataFrame, read_events: Callable[[], DataFrame]
                 f"{path}/batch_id={batch_id}")
             if history_path is not None:
                 steps = materialize(investigation_history(found, trigger=detector.REASON), "steps")
-                history.store_objects(steps, f"{history_path}/objects")
-                history.save_snapshots(steps).write.mode("overwrite").parquet(
-                    f"{history_path}/snapshots/batch_id={batch_id}")
+                history.store_run(steps, history_path, history.content_run(steps))
 
     return (alerts.writeStream.foreachBatch(handle).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
