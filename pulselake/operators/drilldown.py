@@ -6,14 +6,13 @@ which prunes partitions on a table partitioned by customer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import (
     MIN_REQUESTS, ONSET_REQUESTS, OUTLIER_FACTOR, WARNING_ERROR_RATE, WARNING_P99, is_degraded,
     is_server_error, round_half_up, severity,
 )
-from ..functions.quantiles import exact_quantiles
 from .health import for_customer, request_metrics
 
 METRICS = ["request_count", "p50_latency", "p99_latency", "error_rate"]
@@ -36,12 +35,9 @@ def baseline_outliers(health: DataFrame) -> DataFrame:
     materialised ``health``, it is read twice.
     """
     eligible = min_sample_gate(health)
-    stacked = eligible.select(F.inline(F.array(
-        F.struct(F.lit("error_rate").alias("metric"), F.col("error_rate").alias("value")),
-        F.struct(F.lit("p99_latency").alias("metric"), F.col("p99_latency").alias("value")))))
-    medians = (exact_quantiles(stacked, ["metric"], "value", {"median": 0.5})
-               .agg(F.map_from_entries(F.collect_list(F.struct("metric", "median"))))
-               .scalar())
+    # One row per customer, and rounded values: what the aggregate holds is bounded by those.
+    medians = eligible.agg(F.struct(*[F.percentile(c, 0.5).alias(c) for c in (
+        "error_rate", "p99_latency")])).scalar()
     rate, p99 = F.col("error_rate"), F.col("p99_latency")
     return (eligible.withColumn("_medians", medians)
             .withColumn("median_error_rate", round_half_up(F.col("_medians")["error_rate"], 3))
@@ -65,9 +61,12 @@ def by_endpoint(df: DataFrame, customer: str | None = None, *scope: str) -> Data
 def by_deploy(df: DataFrame, customer: str | None = None, *scope: str) -> DataFrame:
     """Metrics per deploy version and their change from the version seen before it."""
     keys = [*scope, "customer_id", "deploy_version"]
+    return deploy_changes(request_metrics(for_customer(df, customer), keys), *scope)
+
+
+def deploy_changes(metrics: DataFrame, *scope: str) -> DataFrame:
     order = Window.partitionBy(*scope, "customer_id").orderBy("first_seen", "deploy_version")
-    return (request_metrics(for_customer(df, customer), keys)
-            .select(*keys, "first_seen", *METRICS)
+    return (metrics.select(*scope, "customer_id", "deploy_version", "first_seen", *METRICS)
             .withColumn("error_rate_change", round_half_up(
                 F.col("error_rate") - F.lag("error_rate").over(order), 2))
             .withColumn("p99_change", round_half_up(
@@ -94,3 +93,29 @@ def error_messages(df: DataFrame, customer: str | None = None, *scope: str) -> D
     return (for_customer(df, customer).where(is_server_error())
             .groupBy(*scope, "customer_id", "error_message")
             .agg(F.count(F.lit(1)).alias("error_count")))
+
+
+#: The grains of a whole drill-down: each row counts once in each (errors: where it is one).
+GRAINS = {"endpoint": "endpoint", "deploy": "deploy_version", "minute": "bucket_start", "error": "error_message"}
+
+
+def all_grains(df: DataFrame, *scope: str) -> DataFrame:
+    """The metrics by endpoint, by deploy version, by minute and by message of server errors in
+    one go: ``grain``, the key column of that grain (the others are null) and the metrics.
+
+    The rows are read twice, however many grains there are: once to count all grains' latency
+    bands, which combine map-side, and once to rank the values in the bands that hold the
+    quantiles of some group. Nothing is written but bands."""
+    rows = df.withColumn("bucket_start", F.window("timestamp", "1 minute")["start"])
+    types = dict(rows.select(*GRAINS.values()).dtypes)
+
+    def of(grain: str) -> Column:
+        return F.struct(F.lit(grain).alias("grain"), *[
+            (F.col(column) if name == grain else F.lit(None).cast(types[column])).alias(column)
+            for name, column in GRAINS.items()])
+
+    every = F.array(*[of(g) for g in GRAINS if g != "error"])
+    spread = rows.select(*scope, "customer_id", "timestamp", "status_code", "latency_ms", F.explode(
+        F.when(is_server_error(), F.concat(every, F.array(of("error")))).otherwise(every)).alias("_g")).select(
+            *scope, "customer_id", "timestamp", "status_code", "latency_ms", "_g.*")
+    return request_metrics(spread, [*scope, "customer_id", "grain", *GRAINS.values()])

@@ -47,24 +47,25 @@ def _report(reported: DataFrame, rows: DataFrame, *scope: str) -> DataFrame:
     """Reported customers with their severity and what the drill-down into ``rows`` says.
     Where one id has several names the name with the worst p99 stands for it.
 
-    The rows of the reported customers are written out once, narrowed to what the
-    drill-downs need: each of them reads those, not the table."""
+    All drill-downs come out of one aggregate of all grains, which reads the rows of the
+    reported customers twice and copies none of them."""
     keys = [*scope, "customer_id"]
     found = materialize(_pick(
         drilldown.with_severity(reported), keys,
         ["customer_name", "severity", "request_count", "p99_latency", "error_rate"],
         ["p99_latency", "customer_name"]))
-    drill = materialize(rows.select(*scope, *DRILL_COLUMNS).join(
-        found.select(*keys), keys, "left_semi"), "drill")
+    drill = rows.select(*scope, *DRILL_COLUMNS).join(found.select(*keys), keys, "left_semi")
+    grains = materialize(drilldown.all_grains(drill, *scope), "grains")
+    of = lambda grain: grains.where(F.col("grain") == grain)
     worst_endpoint = _pick(
-        drilldown.by_endpoint(drill, None, *scope), keys,
+        of("endpoint"), keys,
         ["endpoint", F.col("p99_latency").alias("endpoint_p99"),
          F.col("error_rate").alias("endpoint_error_rate")], ["p99_latency", "endpoint"])
     latest_deploy = _pick(
-        drilldown.by_deploy(drill, None, *scope), keys,
+        drilldown.deploy_changes(of("deploy"), *scope), keys,
         ["deploy_version", "error_rate_change", "p99_change"], ["first_seen", "deploy_version"])
-    start = drilldown.onset(drilldown.timeline(drill, "1 minute", None, *scope), *scope)
-    top_error = _pick(drilldown.error_messages(drill, None, *scope), keys,
+    start = drilldown.onset(of("minute"), *scope)
+    top_error = _pick(of("error").withColumnRenamed("request_count", "error_count"), keys,
                       ["error_message", "error_count"], ["error_count", "error_message"])
     for part in (worst_endpoint, latest_deploy, start, top_error):
         found = found.join(part, keys, "left")
