@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,18 +64,25 @@ def for_customer(df: DataFrame, customer: str | None) -> DataFrame:
     return df if customer is None else df.where(F.col("customer_id") == customer)
 
 
-def request_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+def metric_bands(df: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``request_metrics`` needs of the rows, per group, deploy version and latency band. Such
+    tables of different rows add up."""
+    return band_counts(
+        df, list(dict.fromkeys([*keys, "deploy_version"])), "latency_ms",
+        F.count(F.lit(1)).alias("_rows"), error_count().alias("_errors"),
+        F.min("timestamp").alias("_earliest"), F.max("timestamp").alias("_latest"))
+
+
+def request_metrics(df: DataFrame, keys: list[str], bands: DataFrame | None = None) -> DataFrame:
     """Per group: request count, p50/p99 latency (1 dp), error rate (%, 2 dp), latest
     deploy by text order, first and last time. Null keys are groups of their own.
 
     One pass counts everything per deploy version and latency band, and
     ``exact_quantiles`` goes on from there; grouping by the version keeps the string
-    maximum out of the pass over the rows.
+    maximum out of the pass over the rows. ``bands`` may pass in the ``metric_bands`` of these
+    rows by the same or finer keys, in any number of parts.
     """
-    bands = materialize(band_counts(
-        df, list(dict.fromkeys([*keys, "deploy_version"])), "latency_ms",
-        F.count(F.lit(1)).alias("_rows"), error_count().alias("_errors"),
-        F.min("timestamp").alias("_earliest"), F.max("timestamp").alias("_latest")), "bands")
+    bands = materialize(metric_bands(df, keys) if bands is None else bands, "bands")
     counts = bands.groupBy(F.struct(*keys).alias("_key")).agg(
         F.sum("_rows").alias("request_count"),
         error_percent(F.sum("_errors"), F.sum("_rows")).alias("error_rate"),
@@ -99,6 +106,38 @@ def customer_health(df: DataFrame, minutes: int | None = 5,
         "first_seen").orderBy(F.desc("p99_latency"), "customer_id", "customer_name")
 
 
+def minute_bands(df: DataFrame) -> DataFrame:
+    """``metric_bands`` per customer and minute: the parts of which health is put together."""
+    kind = df.schema["timestamp"].dataType
+    return metric_bands(df.withColumn("minute", F.date_trunc("minute", "timestamp").cast(kind)),
+                        ["customer_id", "customer_name", "minute"])
+
+
+def kept_health(df: DataFrame, kept: DataFrame, minutes: int = 5, as_of: datetime | None = None) -> DataFrame:
+    """``customer_health`` out of ``kept``, the ``minute_bands`` of all rows of ``df`` in any number
+    of parts, such as a stream keeps them.
+
+    Whole minutes come from ``kept``. Of ``df`` only the minutes that the look-back cuts are
+    counted, and the values in the bands that hold a quantile are ranked: one pass over the
+    rows instead of two."""
+    end = kept.agg(F.max("_latest")).first()[0] if as_of is None else as_of
+    if end is None:
+        return customer_health(df, minutes)
+    start = end - timedelta(minutes=minutes)
+    first = start.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    # Without ``as_of`` there is nothing after the newest minute's rows.
+    last = end.replace(second=0, microsecond=0) + (timedelta(minutes=1) if as_of is None else timedelta())
+    at = F.col("timestamp")
+    rows = df.where((at > F.lit(start)) & (at <= F.lit(end)))
+    if "timestamp_day" in df.columns:
+        rows = rows.where(F.col("timestamp_day").between(F.lit(start.date()), F.lit(end.date())))
+    whole = kept.where((F.col("minute") >= F.lit(first)) & (F.col("minute") < F.lit(last)))
+    cut = rows.where((at < F.lit(first)) | (at >= F.lit(last)))
+    bands = whole.unionByName(minute_bands(cut)).drop("minute")
+    return request_metrics(rows, ["customer_id", "customer_name"], bands).drop("first_seen").orderBy(
+        F.desc("p99_latency"), "customer_id", "customer_name")
+
+
 def newest_days(df: DataFrame, limit: int) -> DataFrame:
     """On a day-partitioned table, the newest days that together hold ``limit`` rows; other
     tables are returned whole. Days are counted one after the other, twice as many each

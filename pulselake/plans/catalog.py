@@ -92,6 +92,27 @@ def _sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_time(store.read_events(spark, path))
 
 
+def _kept_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health out of minute bands that were kept in three parts, which overlap in their minutes."""
+    events = telemetry(spark, sf_dir)
+    part = F.pmod(F.xxhash64("trace_id"), F.lit(3))
+    kept = [materialize(health.minute_bands(events.where(part == k)), "kept") for k in range(3)]
+    return health.kept_health(events, kept[0].unionByName(kept[1]).unionByName(kept[2]))
+
+
+def _scan_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as it was pinned between two appends."""
+    path, events = scratch_path(spark, "events"), telemetry(spark, sf_dir)
+    early = F.substring("trace_id", 7, 20).cast("bigint") % 3 < 2
+    store.append_events(events.where(early), path)
+    store.pin_events(spark, path, f"{path}-pin")
+    store.append_events(events.where(~early), path)
+    rows = _plain_time(store.read_pinned(spark, path, f"{path}-pin"))
+    return rows.groupBy("timestamp_day", "customer_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_seen"),
+        F.lit(store.read_events(spark, path).count()).cast("bigint").alias("now"))
+
+
 def _adhoc(sql: str, max_rows: int | None = adhoc.MAX_ROWS) -> Query:
     return lambda s, d: adhoc.ad_hoc_sql(s, sql, telemetry(s, d), max_rows)
 
@@ -229,6 +250,8 @@ def _catalog() -> dict[str, Query]:
         "customer_health": _health,
         "customer_health_15m": lambda s, d: health.customer_health(telemetry(s, d), minutes=15),
         "customer_health_all": lambda s, d: health.customer_health(telemetry(s, d), minutes=None),
+        "customer_health_kept": _kept_health,
+        "scan_as_of": _scan_as_of,
         "recent_events": lambda s, d: health.recent_events(telemetry(s, d)),
         "deploy_history": lambda s, d: health.deploy_history(telemetry(s, d)),
         "sql_guarded_select": _adhoc(SQL_SELECT),

@@ -408,6 +408,11 @@ SELECT count(*) AS events_received, count(*) FILTER (reason IS NULL) AS events_a
             "SELECT *, CAST(timestamp AS DATE) AS timestamp_day FROM telemetry"),
         "customer_health": telemetry("SELECT * FROM health", health_cte()),
         "customer_health_15m": telemetry("SELECT * FROM health", health_cte(15)),
+        "customer_health_kept": telemetry("SELECT * FROM health", health_cte()),
+        "scan_as_of": telemetry("""
+SELECT CAST(timestamp AS DATE) AS timestamp_day, customer_id, count(*) AS n, max(timestamp) AS last_seen,
+  (SELECT count(*) FROM telemetry) AS now
+FROM telemetry WHERE CAST(substr(trace_id, 7) AS BIGINT) % 3 < 2 GROUP BY ALL"""),
         "customer_health_all": telemetry("SELECT * FROM health", health_cte(None)),
         "recent_events": telemetry(
             "SELECT * FROM telemetry ORDER BY timestamp DESC, trace_id LIMIT 50"),

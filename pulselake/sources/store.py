@@ -34,6 +34,30 @@ def append_events(df: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(path))
 
 
+def write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Write the rows of one micro-batch, below the folder ``batch`` of each day and customer.
+    Repeating a batch replaces what it wrote. Hot customers are split as in ``append_events``."""
+    (table_rows(df).withColumn("batch", F.lit(batch)).hint("rebalance", *PARTITION_COLUMNS)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITION_COLUMNS, "batch").parquet(path))
+
+
+def pin_events(spark: SparkSession, path: str, pin: str) -> None:
+    """Save at ``pin`` which files the table at ``path`` consists of now, so that the queries of
+    one investigation can all read the same rows."""
+    files = read_events(spark, path).inputFiles()
+    spark.createDataFrame([(f,) for f in files], "file STRING").write.mode("overwrite").parquet(pin)
+
+
+def read_pinned(spark: SparkSession, path: str, pin: str) -> DataFrame:
+    """The table as it was when it was pinned, whatever was appended since."""
+    files = [r.file for r in spark.read.schema("file STRING").parquet(pin).collect()]
+    if not files:
+        return spark.createDataFrame([], TABLE_SCHEMA).select(*EVENT_COLUMNS, "timestamp_day")
+    return spark.read.schema(TABLE_SCHEMA).option("basePath", path).parquet(*files).select(
+        *EVENT_COLUMNS, "timestamp_day")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The table as of now: the file list is fixed when the DataFrame is made, so later
     appends do not show. The stated schema keeps customer ids text."""
