@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import session_apart
+
 #: Fixed value: most rows of a result, a limit of the interface. None lifts it.
 MAX_ROWS = 500
 #: Seconds a statement may run.
@@ -138,17 +140,6 @@ class Gate:
         return found
 
 
-def _apart(spark: SparkSession) -> SparkSession:
-    """A session with the settings of ``spark`` but no views and functions of its own, in which
-    names are not taken for files."""
-    child = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
-            child.conf.set(key, value)
-    child.conf.set("spark.sql.runSQLOnFiles", "false")
-    return child
-
-
 def register_time_bucket(spark: SparkSession, time_type: str) -> None:
     """``time_bucket(width, time)``, a SQL function the optimizer inlines. Buckets are
     aligned to Monday 2000-01-03."""
@@ -178,7 +169,7 @@ def ad_hoc_sql(spark: SparkSession, sql: str, df: DataFrame,
         if not is_query(spark, sql):
             return _error(spark, "Only queries can be run, not commands or changes")
         df.createGlobalTempView(view)
-        child = _apart(spark)
+        child = session_apart(spark, spark_sql_runSQLOnFiles="false")
         register_time_bucket(child, df.schema["timestamp"].dataType.simpleString())
         result = child.sql(
             f"WITH events AS (SELECT * FROM global_temp.{view}) SELECT * FROM (\n{sql}\n)")

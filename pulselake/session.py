@@ -27,24 +27,59 @@ def build_session(app: str = "pulselake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def session_apart(spark: SparkSession, **conf: str) -> SparkSession:
+    """A session of the same application with the settings of ``spark`` and, on top, ``conf`` (``_``
+    for ``.``), but without its temporary views and functions."""
+    child = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
+            child.conf.set(key, value)
+    for key, value in conf.items():
+        child.conf.set(key.replace("_", "."), str(value))
+    return child
+
+
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def moved(df: DataFrame, session: SparkSession) -> DataFrame:
+    """``df`` in another session of the application: it is planned and run under the settings of
+    that, whoever runs it and whenever."""
+    name = f"moved_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return session.table(f"global_temp.{name}")
+    finally:
+        session.catalog.dropGlobalTempView(name)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: what the cluster names in
     ``spark.checkpoint.dir``. Where that is unset, a temporary folder will do only if all
     tasks run on this machine; on a cluster this raises, since executors could not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="pulselake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local_roots.get(app) or _local_roots.setdefault(app, tempfile.mkdtemp(prefix="pulselake-"))
     return root.rstrip("/")
 
 
+#: By application, where ``spark.checkpoint.dir`` is unset and all tasks run on this machine.
+_local_roots: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the scratch folder of this application."""
+    """A new path below the scratch folder of this application. Inside ``scratch_scope`` what is
+    there is deleted when the scope ends."""
     app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/pulselake-{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/pulselake-{app}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -56,8 +91,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     ``scratch_scope`` the table is deleted when the scope ends.
     """
     path = scratch_path(df.sparkSession, name)
-    for scope in _scopes:
-        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
