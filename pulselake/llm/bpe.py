@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import apart, small_batches
 
 #: Pre-tokens whose ids a task remembers, and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
@@ -208,6 +208,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     Further columns are dropped. No shuffle; a task holds one Arrow batch (at most 16 MB of
     text or one document) and its memory of at most ``CACHE_ENTRIES`` pre-tokens.
     """
+    docs = apart(docs.select(F.col("doc_id").cast("bigint"), "text"))
     small_batches(docs.sparkSession, 1000)
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()),
               pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
@@ -231,7 +232,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
                                         pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import moved, scratch_path, session_apart
 
 # Fixed value: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,8 +19,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def apart(df: DataFrame, **conf: str) -> DataFrame:
+    """``df`` in a session of its own, so that an operator's settings do not touch its caller's, and
+    hold whenever its result is computed."""
+    return moved(df, session_apart(df.sparkSession, **conf))
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches sent to Python, so that very long texts do not add up."""
+    """Bound the Arrow batches sent to Python, so that very long texts do not add up. For a
+    session that is ``apart``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -45,29 +49,6 @@ def unpacked(docs: DataFrame, **instead: Column) -> list[Column]:
     return [own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns]
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (``_`` for ``.``) for the jobs that run inside."""
-    keys = {k.replace("_", "."): str(v) for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for key, value in keys.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
-def arrow_batches(spark: SparkSession, rows: int):
-    """Bounds the Arrow batches of the jobs that run inside, so that very long texts do not add up."""
-    return settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch=rows,
-                    spark_sql_execution_arrow_maxBytesPerBatch=16 << 20)
-
-
 class Scratch:
     """Tables written to the shared folder, deleted one by one once they are not needed."""
 

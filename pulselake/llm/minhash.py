@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, small_batches, unpacked
+from .common import Scratch, apart, packed, small_batches, unpacked
+from ..session import moved
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity in percent of intersection over union.
@@ -301,6 +302,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
 
 def near_duplicate_texts(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``near_duplicates`` with the ``text_key`` of each row."""
+    docs = apart(docs.select("doc_id", "text"))
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(sign(docs, size), "signed")
     named = signed.where("key is not null and doc_id is not null")
@@ -369,7 +371,7 @@ def near_duplicate_texts(docs: DataFrame, size: int = WORDS, percent: int = PERC
 def drop_near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns, whatever their names
     and types. Of rows that repeat doc_id (nulls are equal) and text, one, by the md5 of the rest."""
-    dropped = near_duplicate_texts(docs, size, percent).where(~F.col("kept")).select(
+    dropped = moved(near_duplicate_texts(docs, size, percent), docs.sparkSession).where(~F.col("kept")).select(
         "doc_id", "text_key").distinct()
     rows = docs.select(F.col("doc_id").cast("bigint"), text_key(), packed(docs), "text")
     rest = F.md5(F.to_json("doc", {"ignoreNullFields": "false"}))

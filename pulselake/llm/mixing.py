@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, packed, text_of, unpacked
+from .common import WORD, Scratch, apart, packed, text_of, unpacked
 from .prefix import hash_order, running_total
 
 WEIGHTS = (5, 2, 1)
@@ -131,6 +131,8 @@ def _assign(sized: DataFrame, weights, share, most, schedules) -> DataFrame:
 
 def _taken(docs: DataFrame, **options) -> DataFrame:
     """``doc`` and ``text``, the packed columns of ``docs``, and ``position`` of each copy."""
+    # Numbering and join use the same three columns: the texts are shuffled once for both.
+    docs = apart(docs, spark_sql_requireAllClusterKeysForCoPartition="false")
     scratch = Scratch(docs.sparkSession)
     key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), source_key().alias("key")]
     same = Window.partitionBy("id", "key", "size").orderBy("tie")
@@ -139,7 +141,6 @@ def _taken(docs: DataFrame, **options) -> DataFrame:
     slots = placed.select(*key, "size", "positions", F.get("positions", F.lit(0)).alias("tie"))
     slots = slots.withColumn("n", F.row_number().over(same))
     rows = rows.withColumn("n", F.row_number().over(same))
-    # Numbering and join use the same three columns: the texts are shuffled once for both.
     taken = rows.join(slots.drop("tie").hint("merge"), ["id", "key", "size", "n"]).select(
         "doc", "text", F.explode("positions").alias("position"))
     return taken.repartitionByRange("position").sortWithinPartitions("position")

@@ -15,7 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from ..session import moved
+from .common import Scratch, apart, small_batches
 from .learning import calibrated, training_rows, with_decision, held_out
 from .prefix import hash_order
 
@@ -94,6 +95,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remaind
     labels occur among the learnt rows, the score is 1 throughout: nothing is known to be
     bad. Repeated rows are scored alike, further columns dropped.
     """
+    docs = apart(docs.select("doc_id", "text"))
+    labels = moved(labels, docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     training = training_rows(docs, labels, "quality", held_out(modulus, remainder), scratch)
     if training is None:

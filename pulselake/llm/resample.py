@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, text_of
+from .common import Scratch, apart, small_batches, text_of
 
 BUCKETS = 10_000
 LONGEST_RUN = 1
@@ -216,12 +216,13 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     Scores are whole numbers within a few ten thousands of 0, as logarithms of counts are, so
     there are at most so many to add up in order; rows are only ranked among equal scores.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    with arrow_batches(spark, 2000):
-        gain = gains(*[_collected(bucket_counts(t, buckets, longest), buckets) for t in (docs, target)])
-        weighed = scratch.keep(weigh(docs, gain, longest).withColumn(
-            "score", F.col("weight") + _noise(seed)), "weighed")
+    docs, target = apart(docs.select("doc_id", "text")), apart(target.select("text"))
+    scratch = Scratch(docs.sparkSession)
+    for frame in (docs, target):
+        small_batches(frame.sparkSession, 2000)
+    gain = gains(*[_collected(bucket_counts(t, buckets, longest), buckets) for t in (docs, target)])
+    weighed = scratch.keep(weigh(docs, gain, longest).withColumn(
+        "score", F.col("weight") + _noise(seed)), "weighed")
     can = (F.col("n_words") >= least_words).alias("can")
     drawn = weighed.where(can).count() * percent // 100
     earlier = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)

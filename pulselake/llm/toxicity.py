@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches, named
+from ..session import moved
+from .common import Scratch, apart, named, small_batches
 from .learning import calibrated, held_out, training_rows, with_decision
 
 THRESHOLD = 0.7
@@ -160,6 +161,8 @@ def scored_rows(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder:
     among the learnt rows, the score is 0 throughout: nothing is known to be toxic. Repeated
     rows are scored alike.
     """
+    docs = apart(docs)
+    labels = moved(labels, docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.struct(*map(named, docs.columns)).alias("doc"), "text")
     training = training_rows(docs, labels, "toxic", held_out(modulus, remainder), scratch)
