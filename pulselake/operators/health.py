@@ -29,9 +29,14 @@ def partition_days(df: DataFrame) -> list | None:
 
 
 def newest_rows(df: DataFrame) -> DataFrame:
-    """Rows that hold the newest timestamp: on a day-partitioned table the last day."""
+    """Rows that hold the newest timestamp: on a day-partitioned table the last day that has
+    rows. Files without rows, as a failed or filtered write leaves them, don't count."""
     days = partition_days(df)
-    return df.where(F.col("timestamp_day") == F.lit(days[0])) if days else df
+    for day in days or ():
+        rows = df.where(F.col("timestamp_day") == F.lit(day))
+        if not rows.select("timestamp").where(F.col("timestamp").isNotNull()).isEmpty():
+            return rows
+    return df
 
 
 def latest_time(df: DataFrame) -> Column:
